@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dawnchorus import constants as K
-from dawnchorus.scale import null_safe_join, time_block
+from dawnchorus.scale import named_keys, time_block
 
 _KEY = ["file", "scientific_name"]
 
@@ -24,7 +24,7 @@ def _counted_pieces(det: DataFrame, pre: float, post: float, block_s: float) ->
     a cell of half that width fold into one piece. Without padding only equal starts fold.
     """
     cell = (pre + post) / 2
-    padded = det.select(
+    padded = named_keys(det, _KEY).select(
         *_KEY,
         "common_name",
         (F.col("start").cast("double") - pre).alias("_s"),
@@ -33,6 +33,8 @@ def _counted_pieces(det: DataFrame, pre: float, post: float, block_s: float) ->
     )
     return (
         padded.withColumn("_block", time_block(F.col("_s"), block_s))
+        # Stated here, or the join below would add it to one branch only and unshare the scan.
+        .filter(F.col("_block").isNotNull())
         .withColumn("_cell", time_block(F.col("_s"), cell) if cell > 0 else F.col("_s"))
         .groupBy(*_KEY, "common_name", "_block", "_cell")
         .agg(
@@ -60,12 +62,19 @@ def _block_islands(pieces: DataFrame) -> DataFrame:
 
 
 def _carried_over(islands: DataFrame) -> DataFrame:
-    """Per block: how far earlier blocks reach, and where their last run began."""
+    """Per block: how far earlier blocks reach, and where their last run began.
+
+    ``_peak`` and ``_rows`` bound the block's confidence and count. They keep this branch
+    reading exactly the columns of the other one, so both share one shuffle.
+    """
     by_block = Window.partitionBy(*_KEY).orderBy("_block")
     before = by_block.rowsBetween(Window.unboundedPreceding, -1)
     first = by_block.rowsBetween(Window.unboundedPreceding, 0)
     blocks = islands.groupBy(*_KEY, "_block", "_name").agg(
-        F.max("_e").alias("_end"), F.max("_island").alias("_last")
+        F.max("_e").alias("_end"),
+        F.max("_island").alias("_last"),
+        F.max("_c").alias("_peak"),
+        F.sum("_n").alias("_rows"),
     )
     reach = F.col("_reach")
     return (
@@ -73,7 +82,7 @@ def _carried_over(islands: DataFrame) -> DataFrame:
         .withColumn("_clip_name", F.first("_name").over(first))
         .withColumn("_open", F.when(reach.isNull() | (F.col("_last") > reach), F.col("_last")))
         .withColumn("_from", F.max("_open").over(before))
-        .select(*_KEY, "_block", "_reach", "_from", "_clip_name")
+        .select(*_KEY, "_block", "_reach", "_from", "_clip_name", "_peak", "_rows")
     )
 
 
@@ -89,20 +98,24 @@ def merge_detections(
     clip has the least start, greatest end, greatest confidence and the number of merged
     detections; its common name is that of the species' earliest detection in the recording.
 
-    Work is split by time block, so a recording or species that holds a large share of all
+    Expects finite times (see ``finite_rows``). Work is split by time block, so a recording or species that holds a large share of all
     rows is spread over many tasks: runs are built inside blocks, then only one row per block
     travels to find which runs continue an earlier block.
     """
     _check_padding(pre, post)
     islands = _block_islands(_counted_pieces(det, pre, post, block_s))
-    joined = null_safe_join(islands, _carried_over(islands), [*_KEY, "_block"])
+    joined = islands.join(_carried_over(islands), [*_KEY, "_block"])
     clip_start = F.when(F.col("_island") <= F.col("_reach"), F.col("_from")).otherwise(
         F.col("_island")
     )
     return (
         joined.withColumn("_start", clip_start)
         .groupBy(*_KEY, "_clip_name", "_start")
-        .agg(F.max("_e").alias("end"), F.max("_c").alias("conf"), F.sum("_n").alias("n"))
+        .agg(
+            F.max("_e").alias("end"),
+            F.max(F.least("_c", "_peak")).alias("conf"),
+            F.sum(F.least("_n", "_rows")).alias("n"),
+        )
         .select(
             "file",
             "scientific_name",
@@ -151,14 +164,15 @@ def _buckets(start, end, width: float):
 def detections_in_clips(det: DataFrame, clips: DataFrame, width: float = 60.0) -> DataFrame:
     """Each detection with the clip of its recording and species that contains it.
 
+    Clip columns other than the keys come prefixed with ``clip_``.
+
     A detection has one time bucket, a clip one row per bucket it spans, so the join is an
     equi-join on (file, species, bucket) with a small residual test.
     """
     left = det.withColumn("_bucket", time_block(F.col("start"), width))
     right = clips.select(
         *_KEY,
-        F.col("start").alias("clip_start"),
-        F.col("end").alias("clip_end"),
+        *[F.col(c).alias(f"clip_{c}") for c in clips.columns if c not in _KEY],
         F.explode(_buckets(F.col("start"), F.col("end"), width)).alias("_bucket"),
     )
     inside = (F.col("start") >= F.col("clip_start")) & (F.col("end") <= F.col("clip_end"))

@@ -79,14 +79,17 @@ def resolve_audio(
     folder: str | None = None,
 ) -> DataFrame:
     """Audio path of each result file: the first candidate in the inventory, else null."""
-    tried = with_audio_candidates(results, explicit, folder).select(
-        "file", F.posexplode_outer("candidates").alias("_pos", "_path")
+    keys = list(dict.fromkeys(c for c in ("file", explicit, folder) if c))
+    tried = with_audio_candidates(results.select(*keys), explicit, folder).select(
+        *keys, F.posexplode_outer("candidates").alias("_pos", "_path")
     )
     existing = inventory.select(F.col("file").alias("_path"), F.lit(True).alias("_there")).distinct()
-    best = F.min(F.when(F.col("_there"), F.struct("_pos", "_path")))
-    return (
+    best = (
         tried.join(broadcast_if_bounded(existing), "_path", "left")
-        .groupBy("file")
-        .agg(best.alias("_best"))
-        .select("file", F.col("_best._path").alias("audio_path"))
+        .groupBy(*keys)
+        .agg(F.min(F.when(F.col("_there"), F.col("_pos"))).alias("_best"))
+    )
+    # Candidates follow from the keys, so naming the chosen one needs no second join.
+    return with_audio_candidates(best, explicit, folder).select(
+        "file", F.get("candidates", F.col("_best")).alias("audio_path")
     )

@@ -52,11 +52,13 @@ def time_block(seconds: Column, width: float) -> Column:
     return F.floor(seconds / F.lit(float(width)))
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner equi-join on ``keys`` that also matches nulls; keeps the left key columns."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    matches = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(renamed, matches).drop(*[f"_r_{k}" for k in keys])
+def named_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Absent text keys become empty text, so that plain equi-joins on them lose no row.
+
+    A null-safe join would compare expressions instead of columns and shuffle both sides again.
+    """
+    texts = [name for name, kind in df.dtypes if name in keys and kind == "string"]
+    return df.na.fill("", subset=texts) if texts else df
 
 
 def number_rows(
@@ -74,8 +76,10 @@ def number_rows(
     so neither a long recording nor a pile of copies reaches a single sort.
     """
     columns = df.columns
+    first_block = F.lit(-(1 << 62))
     folded = (
-        df.withColumn("_block", block)
+        named_keys(df, group)
+        .withColumn("_block", F.coalesce(block.cast("bigint"), first_block))
         .groupBy(*columns, "_block")
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
@@ -94,7 +98,7 @@ def number_rows(
     )
     last = F.col("_before") + F.col("_upto")
     return (
-        null_safe_join(local, offsets, [*group, "_block"])
+        local.join(offsets, [*group, "_block"])
         .withColumn(name, F.explode(F.sequence(last - F.col("_copies") + 1, last)))
         .select(*columns, name)
     )

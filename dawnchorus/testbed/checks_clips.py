@@ -63,13 +63,14 @@ def clip_order(t: Tables) -> DataFrame:
     ),
 )
 def detections_in_clips(t: Tables) -> DataFrame:
-    clips = _clips_ev(t)
-    inside = intervals.detections_in_clips(_confident(t.det_ev()), clips)
-    counts = clips.select(
-        "file", "scientific_name", F.col("start").alias("clip_start"), "detection_count"
-    )
-    return inside.join(counts, ["file", "scientific_name", "clip_start"]).select(
-        "file", "line", "scientific_name", "clip_start", "clip_end", "detection_count"
+    inside = intervals.detections_in_clips(_confident(t.det_ev()), _clips_ev(t))
+    return inside.select(
+        "file",
+        "line",
+        "scientific_name",
+        "clip_start",
+        "clip_end",
+        F.col("clip_detection_count").alias("detection_count"),
     )
 
 
