@@ -21,7 +21,8 @@ def model_week(month: Column, day: Column) -> Column:
     """Week 1-48 of a calendar date; the leap day is ignored."""
     elapsed = _lookup(_DAYS_BEFORE, month) + day - 1
     week = F.floor(elapsed / F.lit(DAYS_PER_WEEK)) + 1
-    return F.least(week, F.lit(WEEKS_PER_YEAR)).cast("int")
+    # Not least(): that would turn an unknown week into the last one.
+    return F.when(week > WEEKS_PER_YEAR, WEEKS_PER_YEAR).otherwise(week).cast("int")
 
 
 def week_start_day(week: Column) -> Column:

@@ -36,8 +36,8 @@ def usable_range(start: Column, end: Column) -> Column:
 def valid_ranges(df: DataFrame, on_bad: str = "file") -> DataFrame:
     """Apply the time-range rule.
 
-    ``file``: one row with ``end <= start`` (or an unreadable number) drops all rows of its
-    file, as an unreadable result file. ``row``: drop the row. ``raise``: fail the query.
+    ``file``: one finite row with ``end <= start`` (or an unreadable number) drops all rows of
+    its file, as an unreadable result file. ``row``: drop the row. ``raise``: fail the query.
     """
     if on_bad == "row":
         return df.filter(usable_range(F.col("start"), F.col("end")))
@@ -52,8 +52,11 @@ def valid_ranges(df: DataFrame, on_bad: str = "file") -> DataFrame:
 
 
 def unordered_files(df: DataFrame) -> DataFrame:
-    """Files that hold a row with ``end <= start`` or an unreadable number."""
-    bad = F.col("end") <= F.col("start")
+    """Files that hold a finite row with ``end <= start``, or an unreadable number.
+
+    Rows that are not finite are rejected on their own and never condemn their file.
+    """
+    bad = finite_flag("start", "end", "confidence") & (F.col("end") <= F.col("start"))
     if "malformed" in df.columns:
         bad = bad | F.col("malformed")
     return df.filter(bad).select("file").distinct()

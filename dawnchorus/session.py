@@ -42,11 +42,20 @@ def local_session(cores: int | str = "*", app: str = "dawnchorus", partitions: i
     return tune(spark)
 
 
+_own_root: list[str] = []
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's, or one of our own when it names none."""
+    """Shared folder for checkpoints, as the cluster names it.
+
+    Only a local session without that setting gets a folder of its own; on a cluster a
+    machine-local folder would be lost with its executor, so the setting is required there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    own = tempfile.mkdtemp(prefix="dawnchorus-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    if not _own_root:
+        _own_root.append(tempfile.mkdtemp(prefix="dawnchorus-checkpoint-"))
+    return _own_root[0]

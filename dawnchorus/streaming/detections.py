@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from dawnchorus import constants as K
 from dawnchorus.operators.quality import min_confidence
 from dawnchorus.operators.species import filter_species_list, range_filter
 from dawnchorus.operators.work import pending_recordings
+from dawnchorus.session import checkpoint_root
 from dawnchorus.sources.inventory import audio_files
 
 
@@ -48,7 +50,8 @@ def stream_merge_clips(
     Needs ``recorded_at`` (start of the recording) beside the detection columns. Each row opens
     a session as long as its padded range, so sessions merge exactly when padded ranges overlap
     or touch; merging starts inside each task, before the shuffle. Rows later than the watermark
-    drop out. The start is clamped after merging, which cannot change what merges.
+    drop out. The start is clamped after merging, which cannot change what merges. The common
+    name is that of the clip's earliest detection: the recording's may still be to come.
     """
     opens = F.timestamp_micros(
         F.unix_micros("recorded_at") + F.round((F.col("start") - pre) * 1e6).cast("bigint")
@@ -95,14 +98,16 @@ def stream_pending(
     outputs: Callable[[], DataFrame],
     formats: Sequence[str],
     handle: Callable[[DataFrame, int], None],
-    checkpoint: str,
+    checkpoint: str | None = None,
     max_files: int = 10_000,
 ) -> StreamingQuery:
     """Hand newly arrived recordings that still lack an output to ``handle``, per trigger.
 
     ``outputs`` is called each time, so results written meanwhile count. The checkpoint is a
-    shared folder, so a restarted job goes on where it stopped.
+    shared folder (by default below the session's), so a restarted job goes on where it stopped.
     """
+    if checkpoint is None:
+        checkpoint = f"{checkpoint_root(spark)}/pending-{hashlib.sha1(root.encode()).hexdigest()}"
     arrivals = (
         spark.readStream.format("binaryFile")
         .schema(_LISTING)

@@ -78,26 +78,22 @@ def passes_throttle(
 def _throttle(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    known = state.getOption
-    last_percent, last_ms = known if known is not None else (0, None)
+    last = state.get if state.exists else None
     for rows in batches:
         rows = rows.sort_values("timestamp", kind="stable")
         # Microseconds from the timestamp, whatever unit pandas holds it in.
         millis = rows["timestamp"].astype("datetime64[us]").astype("int64") // 1000
         shown = []
         for percent, at_ms in zip(rows["percent"], millis):
-            emit, whole = passes_throttle(percent, at_ms, last_percent, at_ms if last_ms is None else last_ms)
-            if last_ms is None:
-                last_ms = int(at_ms)
-            if emit:
-                last_percent, last_ms = whole, int(at_ms)
+            # The clock of a file starts with its first update.
+            last = last if last is not None else (0, int(at_ms))
+            emit, whole = passes_throttle(percent, at_ms, *last)
+            last = (whole, int(at_ms)) if emit else last
             shown.append(emit)
         yield rows.loc[shown, ["file", "percent", "timestamp"]]
-    if state.hasTimedOut:
-        state.remove()
-        return
-    state.update((last_percent, last_ms if last_ms is not None else 0))
-    if last_percent >= 100:
+    if last is not None and last[0] < 100:
+        state.update(last)
+    elif state.exists:
         state.remove()
 
 

@@ -270,7 +270,8 @@ def finite_rows_rejected(t: Tables) -> DataFrame:
     "valid_ranges",
     with_views(
         """SELECT file, line, "start", "end" FROM det_dirty
-           WHERE file NOT IN (SELECT file FROM det_dirty WHERE "end" <= "start")""",
+           WHERE file NOT IN (SELECT file FROM det_dirty
+             WHERE isfinite("start") AND isfinite("end") AND isfinite(confidence) AND "end" <= "start")""",
         "det_dirty",
     ),
 )

@@ -316,7 +316,8 @@ def resolve_audio(t: Tables) -> DataFrame:
     with_views(
         f"""WITH clean AS (SELECT * FROM det_dirty
                   WHERE isfinite("start") AND isfinite("end") AND isfinite(confidence)
-                  AND file NOT IN (SELECT file FROM det_dirty WHERE "end" <= "start")),
+                  AND file NOT IN (SELECT file FROM det_dirty
+             WHERE isfinite("start") AND isfinite("end") AND isfinite(confidence) AND "end" <= "start")),
             {merged('clean', 30, 30, 0.2)},
             audio AS (SELECT DISTINCT file AS path FROM det_ev)
             SELECT {_CLIP}, path AS audio_path,
