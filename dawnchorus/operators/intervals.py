@@ -62,7 +62,7 @@ def _block_islands(pieces: DataFrame) -> DataFrame:
 
 
 def _carried_over(islands: DataFrame) -> DataFrame:
-    """Per block: how far earlier blocks reach, and where their last run began.
+    """For blocks after the first: how far earlier blocks reach, and where their last run began.
 
     ``_peak`` and ``_rows`` bound the block's confidence and count. They keep this branch
     reading exactly the columns of the other one, so both share one shuffle.
@@ -79,10 +79,11 @@ def _carried_over(islands: DataFrame) -> DataFrame:
     reach = F.col("_reach")
     return (
         blocks.withColumn("_reach", F.max("_end").over(before))
-        .withColumn("_clip_name", F.first("_name").over(first))
+        .withColumn("_first_name", F.first("_name").over(first))
         .withColumn("_open", F.when(reach.isNull() | (F.col("_last") > reach), F.col("_last")))
         .withColumn("_from", F.max("_open").over(before))
-        .select(*_KEY, "_block", "_reach", "_from", "_clip_name", "_peak", "_rows")
+        .filter(reach.isNotNull())
+        .select(*_KEY, "_block", "_reach", "_from", "_first_name", "_peak", "_rows")
     )
 
 
@@ -104,12 +105,12 @@ def merge_detections(
     """
     _check_padding(pre, post)
     islands = _block_islands(_counted_pieces(det, pre, post, block_s))
-    joined = islands.join(_carried_over(islands), [*_KEY, "_block"])
-    clip_start = F.when(F.col("_island") <= F.col("_reach"), F.col("_from")).otherwise(
-        F.col("_island")
-    )
+    # Short recordings have one block: the right side is then empty and AQE drops the join.
+    joined = islands.join(_carried_over(islands), [*_KEY, "_block"], "left")
+    carried = F.col("_island") <= F.col("_reach")
     return (
-        joined.withColumn("_start", clip_start)
+        joined.withColumn("_start", F.when(carried, F.col("_from")).otherwise(F.col("_island")))
+        .withColumn("_clip_name", F.coalesce("_first_name", "_name"))
         .groupBy(*_KEY, "_clip_name", "_start")
         .agg(
             F.max("_e").alias("end"),

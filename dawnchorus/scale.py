@@ -93,12 +93,15 @@ def number_rows(
     offsets = (
         folded.groupBy(*group, "_block")
         .agg(F.sum("_copies").alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .withColumn("_before", F.sum("_rows").over(earlier))
+        .filter(F.col("_before").isNotNull())
         .select(*group, "_block", "_before")
     )
-    last = F.col("_before") + F.col("_upto")
+    # Groups of one block need no offset: where all are, the right side is empty and AQE drops
+    # the join.
+    last = F.coalesce("_before", F.lit(0)) + F.col("_upto")
     return (
-        local.join(offsets, [*group, "_block"])
+        local.join(offsets, [*group, "_block"], "left")
         .withColumn(name, F.explode(F.sequence(last - F.col("_copies") + 1, last)))
         .select(*columns, name)
     )

@@ -41,7 +41,7 @@ def to_result_documents(
 ) -> DataFrame:
     """One document per recording, also for recordings without detections.
 
-    ``recordings`` has (file, duration_s) and optionally lat, lon and week.
+    ``recordings`` lists every recording with (file, duration_s) and optionally lat, lon, week.
     """
     item = F.struct(
         F.col("start_s").cast("float").alias("start_time"),
@@ -57,8 +57,15 @@ def to_result_documents(
     located = recordings.select("file", F.struct(*place).alias("_place"))
     parts = detection_parts(det, item, per_part)
     summary = recording_summary(det, recordings).join(located, "file")
-    total = F.ceil(F.col("total_detections") / per_part).cast("int")
-    several = F.col("_parts") > 1
+    none = F.array().cast(parts.schema["detections"].dataType)
+    quiet = summary.filter("total_detections = 0").withColumns(
+        {"_part": F.lit(0), "detections": none}
+    )
+    # Parts are the large side of an inner join, which may split a recording of many parts;
+    # recordings without detections need no join at all.
+    filled = parts.join(summary, "file").select(*quiet.columns)
+    count = F.ceil(F.col("total_detections") / per_part).cast("int")
+    several = count > 1
     settings = F.struct(
         F.lit(min_confidence).cast("float").alias("min_confidence"),
         F.lit(overlap).cast("float").alias("overlap"),
@@ -66,22 +73,15 @@ def to_result_documents(
         F.col("_place.lon"),
         F.col("_place.week"),
     )
-    none = F.array().cast(parts.schema["detections"].dataType)
-    return (
-        summary.withColumn("_parts", total)
-        .join(parts, "file", "left")
-        .select(
-            base_name(F.col("file")).alias("source_file"),
-            (F.current_timestamp() if analysed_at is None else analysed_at).alias("analysis_date"),
-            F.lit(model).alias("model"),
-            settings.alias("settings"),
-            F.coalesce("detections", none).alias("detections"),
-            F.struct(
-                "total_detections", "unique_species", "audio_duration_seconds"
-            ).alias("summary"),
-            F.when(several, F.col("_part")).alias("part"),
-            F.when(several, F.col("_parts")).alias("parts"),
-        )
+    return filled.unionByName(quiet).select(
+        base_name(F.col("file")).alias("source_file"),
+        (F.current_timestamp() if analysed_at is None else analysed_at).alias("analysis_date"),
+        F.lit(model).alias("model"),
+        settings.alias("settings"),
+        "detections",
+        F.struct("total_detections", "unique_species", "audio_duration_seconds").alias("summary"),
+        F.when(several, F.col("_part")).alias("part"),
+        F.when(several, count).alias("parts"),
     )
 
 

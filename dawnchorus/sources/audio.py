@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,11 +17,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyarrow import fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dawnchorus.functions.paths import clip_path
 
+# Helpers of this module travel with the tasks, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Frames read from a file at a time when a clip is cut.
 _CHUNK_FRAMES = 1 << 20
 

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dawnchorus import schemas
 from dawnchorus.constants import CSV_HEADER
 
+# Helpers of this module travel with the tasks, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _REQUIRED = CSV_HEADER[:5]
 _TEXT = ["start", "end", "scientific_name", "common_name", "confidence"]
 
@@ -110,10 +115,15 @@ def read_detections_parquet(
     return spark.read.schema(schemas.detections_with(list(include))).parquet(*listed)
 
 
-def read_result_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Result documents, one row each, nested."""
+def read_result_documents(
+    spark: SparkSession, paths: str | Sequence[str], lines: bool = False
+) -> DataFrame:
+    """Result documents, one row each, nested.
+
+    A file holds one document over many lines or, with ``lines``, one document per line.
+    """
     return spark.read.schema(schemas.RESULT_DOCUMENT).json(
-        paths, multiLine=True, recursiveFileLookup=True
+        paths, multiLine=not lines, recursiveFileLookup=True
     )
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,6 +17,10 @@ from dawnchorus.operators.summaries import run_status, status_counts
 from dawnchorus.sources.events import payloads
 
 
+# Helpers of this module travel with the tasks, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def stream_event_log(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """Envelopes as new log files arrive, at most ``max_files`` per trigger."""
     reader = spark.readStream.schema(schemas.EVENT_ENVELOPE).option("maxFilesPerTrigger", max_files)

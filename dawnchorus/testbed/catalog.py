@@ -5,6 +5,7 @@ from dawnchorus.testbed import (  # noqa: F401
     checks_clips,
     checks_formats,
     checks_species,
+    checks_streams,
 )
 from dawnchorus.testbed.registry import QUERIES, SQL
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dawnchorus.functions.calendar import model_week
-from dawnchorus.session import tune
+from dawnchorus.session import checkpoint_root, tune
 
 
 class Tables:
@@ -18,6 +20,18 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stream(self, name: str, files_per_trigger: int = 1) -> DataFrame:
+        """One table as a stream of files."""
+        reader = self.spark.readStream.schema(self.raw(name).schema)
+        # A pattern, because a stream's plain path has to be a folder.
+        return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(
+            f"{self.folder}/{name}.parque[t]"
+        )
+
+    def scratch(self) -> str:
+        """A new folder in the session's shared checkpoint folder."""
+        return f"{checkpoint_root(self.spark)}/{uuid.uuid4().hex}"
+
     # --- detections ---------------------------------------------------------
     def det_ev(self) -> DataFrame:
         """Events as three-second detections, one recording per day."""
