@@ -19,8 +19,13 @@ def at_least(value: Column, threshold: float) -> Column:
 
 
 def fixed(value: Column, places: int) -> Column:
-    """Text with a fixed number of decimals, exact ties rounding to the even digit."""
-    return F.format_string(f"%.{places}f", F.bround(value.cast("double"), places))
+    """Text with a fixed number of decimals, exact ties rounding to the even digit.
+
+    Goes through decimals, which stay in generated code and are much faster than a formatter;
+    values that are no decimals (NaN, infinities) keep their plain text.
+    """
+    exact = value.cast("double").try_cast("decimal(38,18)")
+    return F.coalesce(F.bround(exact, places).cast("string"), value.cast("string"))
 
 
 def plain(value: Column) -> Column:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 def format_duration(seconds: Column) -> Column:
     """HH:MM:SS, fractions cut off, hours running past 24."""
     total = F.floor(F.abs(seconds)).cast("bigint")
-    return F.format_string(
-        "%02d:%02d:%02d",
-        F.floor(total / 3600).cast("bigint"),
-        F.floor((total % 3600) / 60).cast("bigint"),
-        total % 60,
-    )
+
+    def two_digits(value: Column) -> Column:
+        text = value.cast("bigint").cast("string")
+        return F.when(F.length(text) < 2, F.concat(F.lit("0"), text)).otherwise(text)
+
+    parts = [F.floor(total / 3600), F.floor(total % 3600 / 60), total % 60]
+    return F.concat_ws(":", *[two_digits(p) for p in parts])
 
 
 def estimated_segments(duration: Column, segment: Column, overlap: Column) -> Column:

@@ -48,7 +48,7 @@ def valid_ranges(df: DataFrame, on_bad: str = "file") -> DataFrame:
         return df.withColumn("start", checked)
     if on_bad != "file":
         raise ValueError(f"unknown policy {on_bad!r}")
-    return df.join(broadcast_if_bounded(unordered_files(df)), "file", "left_anti")
+    return df.join(broadcast_if_bounded(unordered_files(df), selective=True), "file", "left_anti")
 
 
 def unordered_files(df: DataFrame) -> DataFrame:

@@ -35,8 +35,7 @@ def rerank_order(pred: DataFrame, name: str = "position") -> DataFrame:
 
 def filter_species_list(pred: DataFrame, species: DataFrame) -> DataFrame:
     """Keep predictions whose exact label is listed."""
-    listed = species.select("label").distinct()
-    return pred.join(broadcast_if_bounded(listed), "label", "left_semi")
+    return pred.join(broadcast_if_bounded(species.select("label")), "label", "left_semi")
 
 
 def label_winners(labels: DataFrame) -> DataFrame:

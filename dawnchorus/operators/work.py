@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dawnchorus import constants as K
 from dawnchorus.functions.paths import base_name, join_path, parent_path, stem
-from dawnchorus.scale import broadcast_if_bounded
+from dawnchorus.scale import is_small
 
 
 def pending_recordings(
@@ -38,58 +38,77 @@ def _strip(text: Column, suffix: str) -> Column:
     return F.when(F.endswith(text, F.lit(suffix)), kept)
 
 
-def with_audio_candidates(
-    results: DataFrame, explicit: str | None = None, folder: str | None = None
-) -> DataFrame:
-    """Add ``candidates``: audio paths to try for each result file, best first.
+def _search_terms(results: DataFrame, explicit: str | None, folder: str | None) -> DataFrame:
+    """Add ``_exact``, a path to look for as it is, and ``_stem``, a path less its extension.
 
-    An explicit path is the only candidate. Otherwise: the name without a known result
-    suffix, then the cleaned stem with each audio extension.
+    ``_exact`` is the explicit path or the name without a known result suffix. ``_stem`` is the
+    cleaned name; it is absent beside an explicit path and for names that leave the folder.
     """
     result = F.col("file")
     parent = parent_path(result)
     search = parent if folder is None else F.coalesce(F.col(folder), parent)
+    named = [_strip(F.col("_name"), suffix) for suffix in K.OUTPUT_SUFFIXES.values()]
+    clean = [_strip(F.col("_bare"), suffix) for suffix in K.RESULT_STEM_SUFFIXES]
+    base = [_strip(F.col("_clean"), f".{ext}") for ext in K.AUDIO_EXTENSIONS]
     # One step per column, so that no expression is repeated inside the next.
-    staged = (
+    terms = (
         results.withColumn("_name", base_name(result))
         .withColumn("_search", join_path(search, F.lit("")))
-        .withColumn("_bare", stem(result))
+        .withColumn("_bare", stem(F.col("_name")))
+        .withColumn("_clean", F.coalesce(*clean, "_bare"))
+        .withColumn("_base", F.coalesce(*base, "_clean"))
+        .withColumn("_exact", F.concat("_search", F.coalesce(*named)))
     )
-    clean = [_strip(F.col("_bare"), s) for s in K.RESULT_STEM_SUFFIXES]
-    staged = staged.withColumn("_clean", F.coalesce(*clean, "_bare"))
-    base = [_strip(F.col("_clean"), f".{ext}") for ext in K.AUDIO_EXTENSIONS]
-    staged = staged.withColumn("_base", F.coalesce(*base, "_clean"))
-    safe = F.when(~F.contains("_base", F.lit("..")) & ~F.col("_base").rlike(r"[/\\]"), F.col("_base"))
-    named = [_strip(F.col("_name"), suffix) for suffix in K.OUTPUT_SUFFIXES.values()]
-    guessed = [F.concat("_base", F.lit(f".{ext}")) for ext in K.AUDIO_EXTENSIONS]
-    staged = staged.withColumn("_base", safe)
-    names = F.array_compact(F.array(*named, *guessed))
-    paths = F.transform(names, lambda name: F.concat("_search", name))
+    allowed = F.lit(True)
+    for mark in ("..", "/", "\\"):
+        allowed = allowed & ~F.contains("_base", F.lit(mark))
     if explicit is not None:
-        paths = F.when(F.col(explicit).isNotNull(), F.array(explicit)).otherwise(paths)
-    return staged.withColumn("candidates", paths).drop(
+        allowed = allowed & F.col(explicit).isNull()
+        terms = terms.withColumn("_exact", F.coalesce(explicit, "_exact"))
+    return terms.withColumn("_stem", F.when(allowed, F.concat("_search", "_base"))).drop(
         "_name", "_search", "_bare", "_clean", "_base"
     )
 
 
+def _by_stem(inventory: DataFrame) -> DataFrame:
+    """(_stem, _rank): the preferred extension among the audio files of one stem."""
+    file, rank, cut = F.col("file"), None, None
+    for place, ext in enumerate(K.AUDIO_EXTENSIONS):
+        ends = F.endswith(file, F.lit(f".{ext}"))
+        kept = F.substr(file, F.lit(1), F.length(file) - len(ext) - 1)
+        rank = F.when(ends, place) if rank is None else rank.when(ends, place)
+        cut = F.when(ends, kept) if cut is None else cut.when(ends, kept)
+    stems = inventory.select(cut.alias("_stem"), rank.alias("_rank"))
+    return stems.filter(F.col("_rank").isNotNull()).groupBy("_stem").agg(
+        F.min("_rank").alias("_rank")
+    )
+
+
 def resolve_audio(
     results: DataFrame,
     inventory: DataFrame,
     explicit: str | None = None,
     folder: str | None = None,
 ) -> DataFrame:
-    """Audio path of each result file: the first candidate in the inventory, else null."""
-    keys = list(dict.fromkeys(c for c in ("file", explicit, folder) if c))
-    tried = with_audio_candidates(results.select(*keys), explicit, folder).select(
-        *keys, F.posexplode_outer("candidates").alias("_pos", "_path")
-    )
-    existing = inventory.select(F.col("file").alias("_path"), F.lit(True).alias("_there")).distinct()
-    best = (
-        tried.join(broadcast_if_bounded(existing), "_path", "left")
-        .groupBy(*keys)
-        .agg(F.min(F.when(F.col("_there"), F.col("_pos"))).alias("_best"))
-    )
-    # Candidates follow from the keys, so naming the chosen one needs no second join.
-    return with_audio_candidates(best, explicit, folder).select(
-        "file", F.get("candidates", F.col("_best")).alias("audio_path")
+    """Audio path of each result file, null where the inventory has none.
+
+    Tried in order: the explicit path (then nothing else), the name without its result suffix,
+    and the cleaned stem with each audio extension. The inventory is reduced to one row per
+    stem with its preferred extension, so results join twice by equality and never multiply.
+    """
+    terms = _search_terms(results, explicit, folder)
+    # Absent terms become keys of their own that match nothing, or all would meet in one task.
+    for term in ("_exact", "_stem"):
+        unmatched = F.concat(F.lit("\x00"), F.col("file"))
+        terms = terms.withColumn(term, F.coalesce(F.col(term), unmatched))
+    exact = inventory.select(F.col("file").alias("_exact"), F.lit(True).alias("_there")).distinct()
+    stems = _by_stem(inventory)
+    if is_small(inventory.select("file")):  # bounds both of the tables made from it
+        exact, stems = F.broadcast(exact), F.broadcast(stems)
+    extensions = F.array(*[F.lit(f".{ext}") for ext in K.AUDIO_EXTENSIONS])
+    guessed = F.concat("_stem", F.get(extensions, F.col("_rank")))
+    return (
+        terms.join(exact, "_exact", "left")
+        .join(stems, "_stem", "left")
+        .select("file", F.when(F.col("_there"), F.col("_exact")).otherwise(guessed).alias("audio_path"))
     )

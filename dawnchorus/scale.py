@@ -6,33 +6,67 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A side is broadcast only after its rows and bytes were measured below these.
 BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_BYTES = 64 << 20
+# Measuring is skipped for sides estimated at more than this many times the byte bound.
+MEASURE_FACTOR = 256
+
+
+def _width(name: str, kind: T.DataType) -> Column:
+    """Approximate bytes of a value, without turning it into text where that can be avoided."""
+    column = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return F.lit(8)
 
 
 def measured(df: DataFrame) -> tuple[int, int]:
     """(rows, approximate bytes) of a DataFrame, from one distributed aggregate."""
-    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
     return row["n"], row["b"] or 0
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate, from file sizes; costs no job."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes()))
+
+
 def fits_broadcast(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
     rows, size = measured(df)
     return rows <= max_rows and size <= max_bytes
 
 
-def broadcast_if_bounded(
-    df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
-) -> DataFrame:
+def is_small(
+    df: DataFrame,
+    max_rows: int = BROADCAST_MAX_ROWS,
+    max_bytes: int = BROADCAST_MAX_BYTES,
+    selective: bool = False,
+) -> bool:
+    """Whether the measured size allows a broadcast.
+
+    A side read from far more data than may be broadcast is not even measured, unless it is
+    ``selective``: expected to keep few rows of much data, where a scan of some columns costs
+    less than shuffling the other side.
+    """
+    if not selective and estimated_bytes(df) > MEASURE_FACTOR * max_bytes:
+        return False
+    return fits_broadcast(df, max_rows, max_bytes)
+
+
+def broadcast_if_bounded(df: DataFrame, selective: bool = False) -> DataFrame:
     """Hint a broadcast only when the measured size allows it.
 
     Beyond the bound the DataFrame is returned without a hint: the join then shuffles
     and AQE splits its skewed partitions.
     """
-    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
+    return F.broadcast(df) if is_small(df, selective=selective) else df
 
 
 def bounded_array(df: DataFrame, item: Column, order: Sequence[str]) -> Column:

@@ -153,7 +153,17 @@ def test_order_splits_a_hot_recording(spark):
 def test_broadcast_is_measured(spark):
     df = spark.range(1000)
     rows, size = scale.measured(df)
-    assert rows == 1000 and size > 5000
+    assert rows == 1000 and size == 8000
     assert not scale.fits_broadcast(df, 999, 1 << 20) and not scale.fits_broadcast(df, 1000, 1000)
     with pytest.raises(ValueError):
         scale.bounded_array(spark.range(scale.BROADCAST_MAX_ROWS + 1), F.struct("id"), ["id"])
+
+
+def test_big_sides_are_not_measured(spark, monkeypatch):
+    def fail(*args, **kwargs):
+        raise AssertionError("measured")
+
+    monkeypatch.setattr(scale, "measured", fail)
+    assert scale.broadcast_if_bounded(spark.range(1 << 40)) is not None
+    with pytest.raises(AssertionError):
+        scale.broadcast_if_bounded(spark.range(1 << 40), selective=True)
