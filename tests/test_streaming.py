@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pandas as pd
@@ -31,7 +32,10 @@ def write_log(tmp_path, batches):
     folder.mkdir(exist_ok=True)
     for i, batch in enumerate(batches):
         text = "\n".join(json.dumps({"spec_version": "1.1", "timestamp": at, "event": kind, "payload": payload}) for at, kind, payload in batch)
-        (folder / f"{i:03d}.json").write_text(text + "\n")
+        path = folder / f"{i:03d}.json"
+        path.write_text(text + "\n")
+        # Streams take files in the order of their times.
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
     return str(folder)
 
 
