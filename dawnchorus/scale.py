@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 # A side is broadcast only after its rows and bytes were measured below these.
 BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_BYTES = 64 << 20
+# Copies of one row that are unfolded by one task.
+COPIES_PER_ROW = 100_000
 # Measuring is skipped for sides estimated at more than this many times the byte bound.
 MEASURE_FACTOR = 256
 
@@ -107,7 +109,8 @@ def number_rows(
     ``block`` must not decrease along ``order`` (for times: the hour of the start). Rows are
     numbered inside (group, block); the rows of earlier blocks are added from per-block counts.
     Identical rows are folded into one counted row before the shuffle and unfolded at the end,
-    so neither a long recording nor a pile of copies reaches a single sort.
+    so neither a long recording nor a pile of copies reaches a single sort. Columns not in
+    ``order`` break its ties, so a repeated task numbers its rows as before.
     """
     columns = df.columns
     first_block = F.lit(-(1 << 62))
@@ -117,25 +120,57 @@ def number_rows(
         .groupBy(*columns, "_block")
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
-    inside = Window.partitionBy(*group, "_block").orderBy(*order)
-    local = folded.withColumn(
-        "_upto", F.sum("_copies").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    offsets = _block_offsets(folded, group)
+    ties = [F.col(f"`{c}`") for c in columns]
+    inside = Window.partitionBy(*group, "_block").orderBy(*order, *ties)
+    upto = F.sum("_copies").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    key = [*group, "_block"]
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        # Where all groups have one block, the right side is empty and AQE drops the join.
+        placed = rows.withColumn("_upto", upto).join(offsets, key, "left")
+        last = F.coalesce("_before", F.lit(0)) + F.col("_upto")
+        return placed.withColumn("_first", last - F.col("_copies") + 1)
+
+    piled = F.col("_copies") > COPIES_PER_ROW
+    few = numbered(folded).filter(~piled)
+    # Large piles are unfolded by many tasks. Without any, this branch is empty after the
+    # shuffle it shares with the other, and AQE drops it.
+    blocks = folded.filter(piled).select(*key).distinct()
+    many = _split_piles(numbered(folded.join(blocks, key, "left_semi")).filter(piled))
+    unfolded = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1))
+    wanted = [*columns, "_first", "_copies"]
+    return (
+        few.select(*wanted)
+        .unionByName(many.select(*wanted))
+        .withColumn(name, unfolded)
+        .select(*columns, name)
     )
+
+
+def _block_offsets(folded: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows before each block of a group, for blocks after the first."""
     earlier = (
         Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
+    return (
         folded.groupBy(*group, "_block")
         .agg(F.sum("_copies").alias("_rows"))
         .withColumn("_before", F.sum("_rows").over(earlier))
         .filter(F.col("_before").isNotNull())
         .select(*group, "_block", "_before")
     )
-    # Groups of one block need no offset: where all are, the right side is empty and AQE drops
-    # the join.
-    last = F.coalesce("_before", F.lit(0)) + F.col("_upto")
+
+
+def _split_piles(piles: DataFrame) -> DataFrame:
+    """Counted rows of many copies as several rows of at most COPIES_PER_ROW, spread out."""
+    per = F.lit(COPIES_PER_ROW)
+    spread = int(piles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last_chunk = F.floor((F.col("_copies") - 1) / per)
+    start = F.col("_chunk") * per
     return (
-        local.join(offsets, [*group, "_block"], "left")
-        .withColumn(name, F.explode(F.sequence(last - F.col("_copies") + 1, last)))
-        .select(*columns, name)
+        piles.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
+        .repartition(spread, "_first", "_chunk")
+        .withColumn("_first", F.col("_first") + start)
+        .withColumn("_copies", F.least(per, F.col("_copies") - start))
     )

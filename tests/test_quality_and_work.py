@@ -125,8 +125,10 @@ def test_combine_files(spark, tmp_path):
         combine.combine_parquet(spark, [], str(tmp_path / "x"))
 
 
-def test_numbers_over_blocks_with_copies(spark):
+@pytest.mark.parametrize("copies_per_row", [100_000, 7])
+def test_numbers_over_blocks_with_copies(spark, monkeypatch, copies_per_row):
     """A hot recording with many copies: numbers are complete and follow the order."""
+    monkeypatch.setattr(scale, "COPIES_PER_ROW", copies_per_row)
     det = spark.range(5000).select(
         F.when(F.col("id") % 5 < 4, F.lit("hot")).otherwise(F.lit("cold")).alias("file"),
         F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise((F.col("id") % 997) * 31.0).cast("float").alias("start_s"),
