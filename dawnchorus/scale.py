@@ -120,7 +120,11 @@ def number_rows(
         .groupBy(*columns, "_block")
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
-    offsets = _block_offsets(folded, group)
+    per_block = _per_block(folded, group)
+    before, pile = F.col("_before"), F.col("_pile")
+    # Both tables name both columns, so that they share the work behind them.
+    offsets = per_block.filter(before.isNotNull() & (pile > 0)).drop("_pile")
+    piled_blocks = per_block.filter((pile > COPIES_PER_ROW) & (F.coalesce(before, F.lit(0)) >= 0))
     ties = [F.col(f"`{c}`") for c in columns]
     inside = Window.partitionBy(*group, "_block").orderBy(*order, *ties)
     upto = F.sum("_copies").over(inside.rowsBetween(Window.unboundedPreceding, 0))
@@ -136,8 +140,9 @@ def number_rows(
     few = numbered(folded).filter(~piled)
     # Large piles are unfolded by many tasks. Without any, this branch is empty after the
     # shuffle it shares with the other, and AQE drops it.
-    blocks = folded.filter(piled).select(*key).distinct()
-    many = _split_piles(numbered(folded.join(blocks, key, "left_semi")).filter(piled))
+    many = _split_piles(
+        numbered(folded.join(piled_blocks.select(*key), key, "left_semi")).filter(piled)
+    )
     unfolded = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1))
     wanted = [*columns, "_first", "_copies"]
     return (
@@ -148,17 +153,16 @@ def number_rows(
     )
 
 
-def _block_offsets(folded: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Rows before each block of a group, for blocks after the first."""
+def _per_block(folded: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows in the earlier blocks of the group (null for its first), and the largest pile."""
     earlier = (
         Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
         folded.groupBy(*group, "_block")
-        .agg(F.sum("_copies").alias("_rows"))
+        .agg(F.sum("_copies").alias("_rows"), F.max("_copies").alias("_pile"))
         .withColumn("_before", F.sum("_rows").over(earlier))
-        .filter(F.col("_before").isNotNull())
-        .select(*group, "_block", "_before")
+        .select(*group, "_block", "_before", "_pile")
     )
 
 
