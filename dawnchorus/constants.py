@@ -23,7 +23,6 @@ DEFAULT_SPECIES_LIST_THRESHOLD = 0.03
 UNMATCHED_POLICIES = ["keep", "drop"]
 RANGE_FILTER_MODEL_TYPES = ["birdnet-v24", "birdnet-v30", "perch-v2"]
 CALIBRATED_MODEL_TYPE = "bsg-finland"
-MODEL_TYPES = RANGE_FILTER_MODEL_TYPES + [CALIBRATED_MODEL_TYPE]
 
 # --- fixed values: clips ------------------------------------------------------
 DEFAULT_PADDING_S = 5.0
@@ -104,6 +103,5 @@ EVENT_KINDS = [
     "cancelled",
     "detections",
 ]
-FILE_STATUSES = ["processed", "failed", "skipped", "locked"]
 PROGRESS_STEP_PERCENT = 10
 PROGRESS_INTERVAL_MS = 500

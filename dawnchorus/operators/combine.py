@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dawnchorus.constants import COMBINED_NAMES
+
 
 def combine_results(tables: Sequence[DataFrame]) -> DataFrame:
     """Append tables of identical schema; an empty list or a differing schema is an error."""
@@ -29,3 +31,8 @@ def combine_parquet(spark: SparkSession, paths: Sequence[str], target: str) -> N
             raise ValueError(f"schema mismatch in {path}")
     whole = spark.read.schema(expected.schema).parquet(*paths)
     whole.write.option("compression", "snappy").parquet(target)
+
+
+def combined_path(folder: str, fmt: str) -> str:
+    """Where the combined table of a format goes."""
+    return f"{folder.rstrip('/')}/{COMBINED_NAMES[fmt]}"

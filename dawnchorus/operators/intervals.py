@@ -99,9 +99,10 @@ def merge_detections(
     clip has the least start, greatest end, greatest confidence and the number of merged
     detections; its common name is that of the species' earliest detection in the recording.
 
-    Expects finite times (see ``finite_rows``). Work is split by time block, so a recording or species that holds a large share of all
-    rows is spread over many tasks: runs are built inside blocks, then only one row per block
-    travels to find which runs continue an earlier block.
+    Expects finite times (see ``finite_rows``). Work is split by time block, so a recording or
+    species that holds a large share of all rows is spread over many tasks: runs are built
+    inside blocks, then only one row per block travels to find which runs continue an earlier
+    block.
     """
     _check_padding(pre, post)
     islands = _block_islands(_counted_pieces(det, pre, post, block_s))

@@ -48,7 +48,8 @@ def to_csv_rows(det: DataFrame, include: Sequence[str] = ()) -> DataFrame:
 def to_parquet_rows(det: DataFrame, include: Sequence[str] = ()) -> DataFrame:
     """Typed rows of the Parquet table; the file column keeps the base name only."""
     wanted = schemas.detections_with(list(include))
-    base = det.withColumn("file", F.coalesce(F.nullif(base_name(F.col("file")), F.lit("")), F.col("file")))
+    name = F.nullif(base_name(F.col("file")), F.lit(""))
+    base = det.withColumn("file", F.coalesce(name, F.col("file")))
     return base.select(
         *[
             (F.col(f.name) if f.name in det.columns else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -104,7 +105,9 @@ def to_kaleidoscope_rows(det: DataFrame) -> DataFrame:
 
 
 def _quoted(cell: Column) -> Column:
-    special = F.contains(cell, F.lit(",")) | F.contains(cell, F.lit('"')) | F.contains(cell, F.lit("\n"))
+    special = F.lit(False)
+    for mark in (",", '"', "\n"):
+        special = special | F.contains(cell, F.lit(mark))
     doubled = F.replace(cell, F.lit('"'), F.lit('""'))
     return F.when(special, F.concat(F.lit('"'), doubled, F.lit('"'))).otherwise(cell)
 

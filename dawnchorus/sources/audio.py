@@ -271,9 +271,9 @@ def to_pcm16(samples: np.ndarray) -> bytes:
 def wav_header(rate: int, frames: int) -> bytes:
     """Header of a mono 16-bit PCM file."""
     data = frames * 2
-    return struct.pack(
-        "<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + data, b"WAVE", b"fmt ", 16, 1, 1, rate, rate * 2, 2, 16, b"data", data
-    )
+    layout = struct.pack("<IHHIIHH", 16, _PCM, 1, rate, rate * 2, 2, 16)
+    size = struct.pack("<I", 36 + data)
+    return b"RIFF" + size + b"WAVEfmt " + layout + b"data" + struct.pack("<I", data)
 
 
 def _write_one(current: _OpenFile, row, target: str) -> int:

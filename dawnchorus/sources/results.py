@@ -42,7 +42,8 @@ def _typed(raw: DataFrame, on_bad: str) -> DataFrame:
     if on_bad != "fail":
         raise ValueError(f"unknown policy {on_bad!r}")
     failed = F.raise_error(F.concat(F.lit("unreadable number in "), F.col("file")))
-    return parsed.withColumn("start", F.when(unreadable, failed.cast("double")).otherwise(F.col("start")))
+    checked = F.when(unreadable, failed.cast("double")).otherwise(F.col("start"))
+    return parsed.withColumn("start", checked)
 
 
 def read_detections_csv(

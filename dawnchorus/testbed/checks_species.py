@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.functions.calendar import model_week
 from dawnchorus.operators import scoring, species
 from dawnchorus.plans import analysis, species_lists
 from dawnchorus.testbed.registry import check

@@ -123,6 +123,7 @@ def test_combine_files(spark, tmp_path):
         combine.combine_parquet(spark, [str(tmp_path / "a"), str(tmp_path / "c")], str(tmp_path / "x"))
     with pytest.raises(ValueError):
         combine.combine_parquet(spark, [], str(tmp_path / "x"))
+    assert combine.combined_path("/out/", "csv") == "/out/BirdNET_CombinedTable.csv"
 
 
 @pytest.mark.parametrize("copies_per_row", [100_000, 7])
