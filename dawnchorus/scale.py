@@ -62,12 +62,21 @@ def is_small(
     return fits_broadcast(df, max_rows, max_bytes)
 
 
+def _left_to_spark(df: DataFrame) -> bool:
+    """Whether Spark broadcasts this side by its own size rule, hint or not."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    return estimated_bytes(df) <= int(conf.autoBroadcastJoinThreshold())
+
+
 def broadcast_if_bounded(df: DataFrame, selective: bool = False) -> DataFrame:
     """Hint a broadcast only when the measured size allows it.
 
     Beyond the bound the DataFrame is returned without a hint: the join then shuffles
-    and AQE splits its skewed partitions.
+    and AQE splits its skewed partitions. Sides below Spark's own broadcast threshold need no
+    hint, so they are not measured.
     """
+    if _left_to_spark(df):
+        return df
     return F.broadcast(df) if is_small(df, selective=selective) else df
 
 

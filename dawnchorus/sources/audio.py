@@ -292,6 +292,8 @@ def _write_one(current: _OpenFile, row, target: str) -> int:
         out.write(wav_header(wav.sample_rate, last - first))
         for at in range(first, last, _CHUNK_FRAMES):
             out.write(to_pcm16(read_mono(handle, wav, at, min(_CHUNK_FRAMES, last - at))))
+        out.flush()
+        os.fsync(out.fileno())
     os.replace(draft, target)
     return last - first
 

@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from compare import connect, differences
+from conftest import FOLDER, rows_of
 from dawnchorus.operators import scoring, species
 from dawnchorus.plans import analysis, species_lists
+from dawnchorus.testbed.catalog import QUERIES, SQL
 
 GEO = ["Parus major_Great Tit", "Cyanistes caeruleus_Blue Tit", "Sturnus vulgaris_Common Starling", "Turdus merula_Common Blackbird", "Corvus corone_Carrion Crow"]
 CLASSIFIER = ["Parus major_Talitiainen", "Cyanistes caeruleus_Sinitiainen", "Dog_Dog", "Turdus merula_Mustarastas"]
@@ -72,13 +74,25 @@ def test_by_site_bypasses_inactive(spark):
     assert got.filter("file = 'g'").count() == 3 and got.filter("file = 'unknown'").count() == 3
 
 
-def test_shuffled_joins_give_the_same(spark, monkeypatch):
-    """Beyond the broadcast bound the same rows come out of shuffled joins."""
-    projected = spark.createDataFrame([("in", 0.5), ("out", 0.001)], "classifier_label string, score float")
-    rows = pred(spark, [("in", 0.8), ("out", 0.9), ("none", 0.6)])
-    small = rows_of(species.range_filter(rows, projected, 0.01))
+@pytest.fixture
+def shuffled(spark, monkeypatch):
+    """No side is small enough to broadcast, for this package or for Spark."""
     monkeypatch.setattr("dawnchorus.scale.fits_broadcast", lambda *a, **k: False)
-    assert rows_of(species.range_filter(rows, projected, 0.01)) == small
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for key in keys:
+        spark.conf.set(key, "-1")
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("name", ["range_filter_keep", "range_filter_by_site", "filter_species_list", "resolve_audio", "valid_ranges", "merge_detections_touching", "label_collisions", "assign_region"])
+def test_shuffled_joins_give_the_same(spark, shuffled, name):
+    """Beyond the broadcast bound the same rows come out of shuffled joins."""
+    df = QUERIES[name](spark, FOLDER)
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert differences(df.toPandas(), connect(FOLDER).sql(SQL[name]).df()) == []
 
 
 def test_top_k_and_ties(spark):
