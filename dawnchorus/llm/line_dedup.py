@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dawnchorus.llm.shared import durable
+from dawnchorus.scale import broadcast_if_bounded, is_small
 
 # A removed passage has at least so many words.
 MIN_WORDS = 30
@@ -18,7 +19,7 @@ MIN_CHUNK_BYTES = 24
 # A chunk ends at the lowest rolling hash among so many lines on either side.
 NEIGHBOURS = 4
 # Bytes compared beyond a chunk on either side. Chunks lie far denser than this.
-REACH = 512
+REACH = 192
 # Bytes hashed at once; a longer text is chunked part by part.
 PART = 1 << 20
 LINE_END, SPACE = 10, 32
@@ -136,7 +137,7 @@ def _chunk_rows(files: DataFrame) -> DataFrame:
             columns = [batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, places)]
             yield pa.RecordBatch.from_arrays(columns, names=["file", "version", "key", "start", "end"])
 
-    schema = f"file {kind}, version long, key long, start long, end long"
+    schema = f"file {kind}, version int, key long, start long, end long"
     return files.mapInArrow(run, schema)
 
 
@@ -165,7 +166,7 @@ def _compared(pairs: DataFrame, min_words: int) -> DataFrame:
                 names=["file", "version", "start", "end"],
             )
 
-    schema = f"file {kind}, version long, start long, end long"
+    schema = f"file {kind}, version int, start long, end long"
     return pairs.select(*columns).mapInArrow(run, schema)
 
 
@@ -198,7 +199,7 @@ def _pieces(spans: DataFrame) -> DataFrame:
             )
 
     span = "array<struct<start: long, end: long>>"
-    return listed.mapInArrow(run, f"of {kind}, of_version long, removed {span}, kept {span}")
+    return listed.mapInArrow(run, f"of {kind}, of_version int, removed {span}, kept {span}")
 
 
 def remove_repeated_lines(
@@ -216,11 +217,13 @@ def remove_repeated_lines(
     UTF-8 bytes of the original (empty if none). A null text or key leaves a row as it is; rows
     with the same key are one file and never cut each other; an empty table gives an empty table.
 
-    One shuffle carries the texts, and all three joins use it. Chunks travel as numbers and are combined
-    before their shuffle; where one chunk occurs in very many files, its join partition can be split.
+    Chunks travel as numbers and are combined before their shuffle; where one chunk occurs in very many
+    files, its join partition can be split. Texts that share nothing are not shuffled, as long as
+    the keys of the others, and their spans, are few enough to broadcast (measured); beyond that every
+    text is shuffled for the comparison and once more for the cut.
     """
     own = results.select(
-        F.col(file).alias("file"), F.xxhash64(content).alias("version"), F.col(content).alias("content")
+        F.col(file).alias("file"), F.hash(content).alias("version"), F.col(content).alias("content")
     )
     files = own.where("file IS NOT NULL AND content IS NOT NULL")
     found = _chunk_rows(files)
@@ -249,20 +252,34 @@ def remove_repeated_lines(
         .select(*place, "at", "long", "first_at")
     )
     runs = durable(runs)
-    texts = own.select("file", "version", F.col("content").cast("binary").alias("bytes"))
-    keyed = texts.select(F.col("file").alias("f"), F.col("version").alias("v"), "bytes")
+    # Of all texts only those are shuffled that have a part in a run, while their keys fit a broadcast.
+    involved = runs.select("file", "version").unionAll(runs.select("first", "first_version")).distinct()
+    involved = durable(involved.select(F.col("file").alias("f"), F.col("version").alias("v")))
+    texts = files.select(F.col("file").alias("f"), F.col("version").alias("v"), F.col("content").cast("binary").alias("bytes"))
+    if is_small(involved):
+        texts = texts.join(F.broadcast(involved), ["f", "v"], "left_semi")
 
     def window(start: str) -> Column:
         return F.expr(f"substring(bytes, cast({start} + 1 as int), cast(long as int))")
 
-    mine = runs.hint("shuffle_hash").join(keyed, (F.col("file") == F.col("f")) & (F.col("version") == F.col("v")))
-    mine = mine.withColumn("own", window("at")).withColumn("size", F.octet_length("bytes").cast("long"))
-    mine = mine.drop("bytes", "f", "v")
+    # Repeated rows of a text give the same windows; one of them is enough.
+    mine = (
+        runs.hint("shuffle_hash")
+        .join(texts, (F.col("file") == F.col("f")) & (F.col("version") == F.col("v")))
+        .select(*place, "at", "long", "first_at", window("at").alias("own"), F.octet_length("bytes").cast("long").alias("size"))
+        .groupBy(*place, "at", "long", "first_at")
+        .agg(F.first("own").alias("own"), F.first("size").alias("size"))
+    )
     asked = runs.select(
         F.col("first").alias("af"), F.col("first_version").alias("av"), F.col("first_at").alias("aa"), "long"
     ).distinct()
-    theirs = asked.hint("shuffle_hash").join(keyed, (F.col("af") == F.col("f")) & (F.col("av") == F.col("v")))
-    theirs = theirs.select("af", "av", "aa", F.col("long").alias("al"), window("aa").alias("other")).distinct()
+    theirs = (
+        asked.hint("shuffle_hash")
+        .join(texts, (F.col("af") == F.col("f")) & (F.col("av") == F.col("v")))
+        .select("af", "av", "aa", F.col("long").alias("al"), window("aa").alias("other"))
+        .groupBy("af", "av", "aa", "al")
+        .agg(F.first("other").alias("other"))
+    )
     pairs = mine.join(
         theirs,
         (F.col("first") == F.col("af"))
@@ -274,11 +291,11 @@ def remove_repeated_lines(
     rows = results.select(
         F.struct("*").alias("row"),
         F.col(file).alias("file"),
-        F.xxhash64(content).alias("version"),
+        F.hash(content).alias("version"),
         F.col(content).cast("binary").alias("bytes"),
     )
     joined = rows.join(
-        pieces.hint("shuffle_hash"),
+        broadcast_if_bounded(pieces),
         (F.col("file") == F.col("of")) & (F.col("version") == F.col("of_version")),
         "left",
     )
