@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dawnchorus.llm.shared import durable
-from dawnchorus.scale import broadcast_if_bounded, is_small
+from dawnchorus.scale import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, fits_broadcast
 
 # A removed passage has at least so many words.
 MIN_WORDS = 30
@@ -202,6 +202,11 @@ def _pieces(spans: DataFrame) -> DataFrame:
     return listed.mapInArrow(run, f"of {kind}, of_version int, removed {span}, kept {span}")
 
 
+def _bounded(side: DataFrame) -> bool:
+    """Whether durable rows are few enough to broadcast, by measure."""
+    return fits_broadcast(side, BROADCAST_MAX_ROWS, BROADCAST_MAX_BYTES)
+
+
 def remove_repeated_lines(
     results: DataFrame, file: str = "file", content: str = "content", min_words: int = MIN_WORDS
 ) -> DataFrame:
@@ -256,7 +261,7 @@ def remove_repeated_lines(
     involved = runs.select("file", "version").unionAll(runs.select("first", "first_version")).distinct()
     involved = durable(involved.select(F.col("file").alias("f"), F.col("version").alias("v")))
     texts = files.select(F.col("file").alias("f"), F.col("version").alias("v"), F.col("content").cast("binary").alias("bytes"))
-    if is_small(involved):
+    if _bounded(involved):
         texts = texts.join(F.broadcast(involved), ["f", "v"], "left_semi")
 
     def window(start: str) -> Column:
@@ -295,7 +300,7 @@ def remove_repeated_lines(
         F.col(content).cast("binary").alias("bytes"),
     )
     joined = rows.join(
-        broadcast_if_bounded(pieces),
+        F.broadcast(pieces) if _bounded(pieces) else pieces,
         (F.col("file") == F.col("of")) & (F.col("version") == F.col("of_version")),
         "left",
     )
