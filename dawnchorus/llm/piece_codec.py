@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as model_format
@@ -174,16 +175,24 @@ class PieceCodec:
     def _bare(self, text: str) -> str:
         return text[1:] if self.prefixed and text.startswith(" ") else text
 
-    def digest(self, text: str) -> tuple[int, str, str, str]:
-        """(number of ids, digest of the ids, digest of the decoded text, decoded text)."""
+    def digest(self, text: str, kept: list[np.ndarray] | None = None) -> tuple[int, str, str, str]:
+        """(number of ids, digest of the ids, digest of the decoded text, decoded text).
+
+        The ids themselves go to ``kept``, slice by slice, if it is given.
+        """
         ids, out, n = hashlib.sha256(), [], 1
         for words in self.words(text):
             get, spelled = self.known.get, self.spelled
             found = [get(w) or spelled(w) for w in words]
-            ids.update((" ".join([f[0] for f in found]) + " ").encode("ascii"))
+            said = " ".join([f[0] for f in found])
+            ids.update((said + " ").encode("ascii"))
+            if kept is not None:
+                kept.append(np.fromstring(said, dtype=np.int32, sep=" "))
             out.append("".join([f[1] for f in found]))
             n += sum([f[2] for f in found])
         ids.update(str(self.end_id).encode("ascii"))
+        if kept is not None:
+            kept.append(np.array([self.end_id], dtype=np.int32))
         back = self._bare("".join(out))
         return n, ids.hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest(), back
 
@@ -218,7 +227,8 @@ def piece_round_trip(
         codec = _codec(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = [codec.digest(t) for t in texts]
+            held: list[list[np.ndarray]] = [[] for _ in texts]
+            rows = [codec.digest(t, h if keep_ids else None) for t, h in zip(texts, held, strict=True)]
             arrays = [
                 batch.column(0),
                 pa.array([r[0] for r in rows], pa.int64()),
@@ -227,7 +237,7 @@ def piece_round_trip(
             ]
             names = [file, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                arrays.append(pa.array([codec.encode(t) for t in texts], pa.list_(pa.int32())))
+                arrays.append(pa.array([np.concatenate(h) for h in held], pa.list_(pa.int32())))
                 names.append("ids")
             if keep_text:
                 arrays.append(pa.array([r[3] for r in rows], pa.string()))
