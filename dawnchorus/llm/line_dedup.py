@@ -97,27 +97,37 @@ def chunks(texts: list[str]) -> list[np.ndarray]:
     return [np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)]
 
 
-def equal_spans(own: bytes, other: bytes, whole_left: bool, whole_right: bool, words: int):
+def _blank(data: np.ndarray) -> np.ndarray:
+    return (data == SPACE) | ((data >= 9) & (data <= 13))
+
+
+def equal_spans(
+    own: bytes, other: bytes, words: int, left: tuple[bool, bool], right: tuple[bool, bool]
+) -> list[tuple[int, int]]:
     """Word-aligned spans of ``own`` that equal ``other`` byte by byte at the same place.
 
-    ``whole_left`` and ``whole_right`` say that a side of ``own`` is the text's own edge. A span takes the white
-    space behind it along.
+    ``left`` and ``right`` say of ``own`` and ``other`` whether a word begins, or ends, with the bytes given. A
+    span takes the white space behind it along; it holds at least ``words`` words.
     """
-    n = min(len(own), len(other))
-    a = np.frombuffer(own, dtype=np.uint8)
-    same = np.r_[False, a[:n] == np.frombuffer(other, dtype=np.uint8)[:n], False]
+    a, b = np.frombuffer(own, dtype=np.uint8), np.frombuffer(other, dtype=np.uint8)
+    n = min(len(a), len(b))
+    same = np.r_[False, a[:n] == b[:n], False]
     edges = np.flatnonzero(same[1:] != same[:-1])
-    blank = (a == SPACE) | ((a >= 9) & (a <= 13))
+    # Where a word may begin, and where it is over, in each text.
+    begins = [np.r_[edge, _blank(x)[:-1]] if len(x) else np.zeros(0, dtype=bool) for x, edge in zip((a, b), left, strict=True)]
+    over = [np.r_[_blank(x), edge] for x, edge in zip((a, b), right, strict=True)]
+    gap = _blank(a)
     spans = []
     for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        if not (start == 0 and whole_left) and not (start and blank[start - 1]):
-            gaps = np.flatnonzero(blank[start:end])
+        if not (begins[0][start] and begins[1][start]):
+            gaps = np.flatnonzero(gap[start:end])
             if not len(gaps):
                 continue
             start += int(gaps[0]) + 1
-        if not (end == len(own) and whole_right):
-            # The word at the edge may go on differently, unless white space follows it here.
-            gaps = np.flatnonzero(blank[start : end + 1])
+        if over[0][end] and over[1][end]:
+            end = min(end + 1, len(a))
+        else:
+            gaps = np.flatnonzero(gap[start:end])
             if not len(gaps):
                 continue
             end = start + int(gaps[-1]) + 1
@@ -144,14 +154,18 @@ def _chunk_rows(files: DataFrame) -> DataFrame:
 def _compared(pairs: DataFrame, min_words: int) -> DataFrame:
     """(file, version, start, end) of the spans that are equal."""
     kind = pairs.schema["file"].dataType.simpleString()
-    columns = ["file", "version", "at", "size", "own", "other"]
+    columns = ["file", "version", "at", "size", "own", "other", "first_at", "long"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, starts, ends = [], [], []
-            places = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
-            for i, (at, size, own, other) in enumerate(places):
-                for s, e in equal_spans(own, other, at == 0, at + len(own) >= size, min_words):
+            places = zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True)
+            for i, (at, size, own, other, first_at, long) in enumerate(places):
+                # The other text comes with the byte before the window.
+                before, other = (other[:1], other[1:]) if first_at else (b" ", other)
+                left = at == 0, not before.strip()
+                right = at + len(own) >= size, len(other) < long
+                for s, e in equal_spans(own, other, min_words, left, right):
                     rows.append(i)
                     starts.append(at + s)
                     ends.append(at + e)
@@ -267,6 +281,9 @@ def remove_repeated_lines(
     def window(start: str) -> Column:
         return F.expr(f"substring(bytes, cast({start} + 1 as int), cast(long as int))")
 
+    before = F.expr(
+        "if(aa > 0, substring(bytes, cast(aa as int), cast(long + 1 as int)), substring(bytes, 1, cast(long as int)))"
+    )
     # Repeated rows of a text give the same windows; one of them is enough.
     mine = (
         runs.hint("shuffle_hash")
@@ -281,7 +298,7 @@ def remove_repeated_lines(
     theirs = (
         asked.hint("shuffle_hash")
         .join(texts, (F.col("af") == F.col("f")) & (F.col("av") == F.col("v")))
-        .select("af", "av", "aa", F.col("long").alias("al"), window("aa").alias("other"))
+        .select("af", "av", "aa", F.col("long").alias("al"), before.alias("other"))
         .groupBy("af", "av", "aa", "al")
         .agg(F.first("other").alias("other"))
     )

@@ -37,7 +37,7 @@ def slices(text: str, size: int = 1 << 20) -> Iterator[str]:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node on an edge (u, v); the root is the smallest node reachable.
+    """(node, root) of every node on an edge (u, v) that reaches a smaller one; the root is the smallest.
 
     Alternates the large-star and small-star steps on (u, v) with u > v until nothing changes, which
     takes a number of rounds that grows with the logarithm of the longest chain. Every round is an
