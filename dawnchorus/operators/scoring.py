@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dawnchorus import constants as K
-from dawnchorus.scale import bounded_array
+from dawnchorus.scale import parameter_blocks, unfolded
 
 # A model factory runs once per task; the model maps a (batch, samples) array to a
 # (batch, classes) array of confidences.
@@ -72,44 +72,60 @@ def score_segments(
 def classify_embeddings(
     embeddings: DataFrame, head: DataFrame, k: int | None = 1, carry: Sequence[str] = ("file", "seg_idx")
 ) -> DataFrame:
-    """Second-stage scores ``w . embedding + b`` of every head label, best ``k`` kept.
+    """Second-stage scores ``w . embedding + b`` of every head label, best ``k`` kept (ties by class).
 
-    ``head`` has (class_index, label, weights, bias): a parameter table whose size is checked
-    and which is attached as one array, so scoring needs neither a join nor a shuffle. A
-    segment without an embedding is an error.
+    ``head`` has (class_index, label, weights, bias). Its parts go to the tasks as matrices, one product
+    per Arrow batch and part, and the best so far travel along, so there is no join and no shuffle; a head
+    beyond the broadcast bound makes more parts. A segment without an embedding, or with one of another
+    length than the weights, is an error.
     """
-    item = F.struct("class_index", "label", "weights", "bias")
-    present = F.when(F.col("embedding").isNotNull(), F.col("embedding")).otherwise(
-        F.raise_error(F.lit("segment without an embedding")).cast("array<float>")
-    )
+    spark = embeddings.sparkSession
+    best_type = "array<struct<score: double, class_index: int, label: string>>"
+    scored = embeddings.select(*carry, "embedding").withColumn("_best", F.array().cast(best_type))
+    for part in parameter_blocks(head.select("class_index", "label", "weights", "bias")):
+        rows = sorted(part.collect(), key=lambda r: r["class_index"])
+        if rows:
+            matrix = np.array([r["weights"] for r in rows], dtype=np.float64)
+            bias = np.array([r["bias"] for r in rows], dtype=np.float64)
+            classes = [r["class_index"] for r in rows]
+            shared = spark.sparkContext.broadcast((matrix, bias, classes, [r["label"] for r in rows]))
+            scored = scored.mapInPandas(_scorer(shared, k), scored.schema)
+    return scored.select(*carry, F.inline("_best")).select(*carry, "label", "score", "class_index")
+
+
+def _scorer(shared, k: int | None):
+    """Adds the scores of one part of a head to the best so far of each row."""
+
+    def best(before, scores: np.ndarray, classes: list, names: list) -> list[dict]:
+        # Classes are in order, so a stable sort leaves ties by class.
+        first = np.argsort(-scores, kind="stable")[:k].tolist()
+        found = [{"score": float(scores[i]), "class_index": classes[i], "label": names[i]} for i in first]
+        ranked = sorted([*before, *found], key=lambda r: (-r["score"], r["class_index"]))
+        return ranked if k is None else ranked[:k]
 
-    def score(h):
-        products = F.zip_with(
-            present, h["weights"], lambda x, w: x.cast("double") * w.cast("double")
-        )
-        total = F.aggregate(products, F.lit(0.0), lambda a, v: a + v) + h["bias"].cast("double")
-        # Negated first field: ascending order puts the best score first, ties by class.
-        return F.struct(
-            (-total).alias("negated"),
-            h["class_index"].alias("class_index"),
-            h["label"].alias("label"),
-        )
-
-    ranked = F.array_sort(F.transform(F.col("_head"), score))
-    best = ranked if k is None else F.slice(ranked, 1, k)
-    return (
-        embeddings.select(*carry, "embedding")
-        .withColumn("_head", bounded_array(head, item, ["class_index"]))
-        .select(*carry, F.inline(best))
-        .select(*carry, "label", (-F.col("negated")).alias("score"), "class_index")
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matrix, bias, classes, names = shared.value
+        for batch in batches:
+            if batch["embedding"].isna().any():
+                raise ValueError("segment without an embedding")
+            if (batch["embedding"].map(len) != matrix.shape[1]).any():
+                raise ValueError("embedding of another length than the head's weights")
+            out = batch.copy()
+            if len(batch):
+                scores = np.stack(batch["embedding"].to_numpy()).astype(np.float64) @ matrix.T + bias
+                out["_best"] = [
+                    best(before, row, classes, names) for before, row in zip(batch["_best"], scores)
+                ]
+            yield out
+
+    return run
 
 
 def occurrence_scores(sites: DataFrame, weights: DataFrame) -> DataFrame:
     """Score of every species at each distinct (lat, lon, week): sigmoid(w . inputs + b).
 
-    ``weights`` has (class_index, species, w_lat, w_lon, w_week, bias) and is size-checked; its
-    rows are unfolded at each site, which is the full output and needs no join.
+    ``weights`` has (class_index, species, w_lat, w_lon, w_week, bias) and may have any size;
+    its rows are unfolded at each site, which is the full output and needs no join.
     """
     item = F.struct("class_index", "species", "w_lat", "w_lon", "w_week", "bias")
     z = (
@@ -118,10 +134,9 @@ def occurrence_scores(sites: DataFrame, weights: DataFrame) -> DataFrame:
         + F.col("week") * F.col("w_week")
         + F.col("bias")
     )
+    places = sites.select("lat", "lon", "week").distinct()
     return (
-        sites.select("lat", "lon", "week")
-        .distinct()
-        .select("lat", "lon", "week", F.inline(bounded_array(weights, item, ["class_index"])))
+        unfolded(places, weights, item, ["class_index"])
         .withColumn("score", (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).cast("float"))
         .select("lat", "lon", "week", "species", "class_index", "score")
     )

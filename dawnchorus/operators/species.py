@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dawnchorus import constants as K
 from dawnchorus.functions.labels import species_key
 from dawnchorus.functions.numbers import at_least
-from dawnchorus.scale import bounded_array, broadcast_if_bounded, number_rows
+from dawnchorus.scale import broadcast_if_bounded, number_rows, unfolded
 
 _SEGMENT = ["file", "seg_idx"]
 
@@ -98,7 +98,7 @@ def project_scores(
     if by:
         pair = F.struct("species_key", "classifier_label")
         wanted = scores.select(*by).distinct()
-        seeds = wanted.select(*by, F.inline(bounded_array(mapping, pair, ["species_key"])))
+        seeds = unfolded(wanted, mapping, pair, ["species_key"])
     else:
         seeds = mapping
     score = F.coalesce(F.col("score"), F.lit(0.0).cast("float"))

@@ -120,18 +120,21 @@ def clip_batch_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def rejected_report(rejected: DataFrame, line: str = "line") -> DataFrame:
-    """Rejected rows per file, with the first few line numbers as samples.
+def rejected_report(
+    rejected: DataFrame, line: str = "line", samples: int = K.REJECTED_SAMPLES_KEPT
+) -> DataFrame:
+    """Rejected rows per file, with the first ``samples`` line numbers of each.
 
-    The row limit applies before the rows are collected, so the array stays small.
+    The row limit applies before the rows are collected, so the array stays small; all rejected
+    rows are what was passed in.
     """
     counts = rejected.groupBy("file").agg(F.count(F.lit(1)).alias("skipped"))
     rank = F.row_number().over(Window.partitionBy("file").orderBy(line))
-    samples = (
+    kept = (
         rejected.select("file", line)
         .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= K.REJECTED_SAMPLES_KEPT)
+        .filter(F.col("_rank") <= samples)
         .groupBy("file")
         .agg(F.sort_array(F.collect_list(line)).alias("sample_lines"))
     )
-    return counts.join(samples, "file")
+    return counts.join(kept, "file")

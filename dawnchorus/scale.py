@@ -80,17 +80,33 @@ def broadcast_if_bounded(df: DataFrame, selective: bool = False) -> DataFrame:
     return F.broadcast(df) if is_small(df, selective=selective) else df
 
 
-def bounded_array(df: DataFrame, item: Column, order: Sequence[str]) -> Column:
-    """All rows of a measured-small parameter table as one array column.
+def parameter_blocks(df: DataFrame) -> list[DataFrame]:
+    """A parameter table in parts that each may be broadcast; one part if all of it may.
 
-    Evaluated once as a scalar subquery, so attaching it needs no join. Raises when the
-    table is larger than a broadcast may be.
+    The number of parts comes from the measured rows and bytes; rows go to parts by their hash.
     """
-    if not fits_broadcast(df, BROADCAST_MAX_ROWS, BROADCAST_MAX_BYTES):
-        raise ValueError("parameter table exceeds the broadcast bound")
-    keyed = F.struct(*[F.col(c) for c in order], item.alias("item"))
-    rows = F.transform(F.array_sort(F.collect_list(keyed)), lambda r: r["item"])
-    return df.agg(rows.alias("rows")).scalar()
+    rows, size = measured(df)
+    parts = max(1, -(-rows // BROADCAST_MAX_ROWS), -(-size // BROADCAST_MAX_BYTES))
+    if parts == 1:
+        return [df]
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+    return [df.filter(part == i) for i in range(parts)]
+
+
+def unfolded(rows: DataFrame, parameters: DataFrame, item: Column, order: Sequence[str]) -> DataFrame:
+    """Every row with the fields of every parameter: the full output, without a join.
+
+    Each part of the parameter table is evaluated once, as an array that a scalar subquery attaches;
+    a larger table makes more parts, never an error.
+    """
+    out = None
+    for part in parameter_blocks(parameters):
+        keyed = F.struct(*[F.col(c) for c in order], item.alias("item"))
+        listed = F.transform(F.array_sort(F.collect_list(keyed)), lambda r: r["item"])
+        array = part.agg(listed.alias("rows")).scalar()
+        found = rows.select("*", F.inline(array))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def time_block(seconds: Column, width: float) -> Column:

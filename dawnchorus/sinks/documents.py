@@ -64,8 +64,7 @@ def to_result_documents(
     # Parts are the large side of an inner join, which may split a recording of many parts;
     # recordings without detections need no join at all.
     filled = parts.join(summary, "file").select(*quiet.columns)
-    count = F.ceil(F.col("total_detections") / per_part).cast("int")
-    several = count > 1
+    count = F.greatest(F.ceil(F.col("total_detections") / per_part).cast("int"), F.lit(1))
     settings = F.struct(
         F.lit(min_confidence).cast("float").alias("min_confidence"),
         F.lit(overlap).cast("float").alias("overlap"),
@@ -80,8 +79,8 @@ def to_result_documents(
         settings.alias("settings"),
         "detections",
         F.struct("total_detections", "unique_species", "audio_duration_seconds").alias("summary"),
-        F.when(several, F.col("_part")).alias("part"),
-        F.when(several, count).alias("parts"),
+        F.col("_part").alias("part"),
+        count.alias("parts"),
     )
 
 

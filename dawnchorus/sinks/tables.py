@@ -45,8 +45,13 @@ def to_csv_rows(det: DataFrame, include: Sequence[str] = ()) -> DataFrame:
     return det.select(*core, *extra)
 
 
-def to_parquet_rows(det: DataFrame, include: Sequence[str] = ()) -> DataFrame:
-    """Typed rows of the Parquet table; the file column keeps the base name only."""
+def to_parquet_rows(
+    det: DataFrame, include: Sequence[str] = (), carry: Sequence[str] = ()
+) -> DataFrame:
+    """Typed rows of the Parquet table; the file column keeps the base name only.
+
+    Columns to ``carry`` follow as they are, unless the table has them already.
+    """
     wanted = schemas.detections_with(list(include))
     name = F.nullif(base_name(F.col("file")), F.lit(""))
     base = det.withColumn("file", F.coalesce(name, F.col("file")))
@@ -54,7 +59,8 @@ def to_parquet_rows(det: DataFrame, include: Sequence[str] = ()) -> DataFrame:
         *[
             (F.col(f.name) if f.name in det.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in wanted.fields
-        ]
+        ],
+        *[c for c in carry if c not in wanted.names],
     )
 
 
@@ -174,11 +180,7 @@ def write_detections_parquet(
     det: DataFrame, target: str, include: Sequence[str] = (), partition_by: Sequence[str] = ()
 ) -> None:
     """Snappy Parquet, optionally partitioned by columns such as site and date."""
-    rows = to_parquet_rows(det, include)
-    if partition_by:
-        kept = det.select(*partition_by, *[c for c in det.columns if c not in partition_by])
-        base = to_parquet_rows(kept, include).columns
-        rows = kept.withColumn("file", base_name(F.col("file"))).select(*base, *partition_by)
+    rows = to_parquet_rows(det, include, partition_by)
     rows.write.option("compression", "snappy").partitionBy(*partition_by).parquet(target)
 
 

@@ -7,9 +7,11 @@ storage paths work alike, and no file is ever read whole.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import struct
 import sys
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -288,23 +290,41 @@ def _write_one(current: _OpenFile, row, target: str) -> int:
         raise ValueError("no audio in the range")
     os.makedirs(os.path.dirname(target), exist_ok=True)
     draft = f"{target}.{uuid.uuid4().hex}.tmp"
-    with open(draft, "wb") as out:
-        out.write(wav_header(wav.sample_rate, last - first))
-        for at in range(first, last, _CHUNK_FRAMES):
-            out.write(to_pcm16(read_mono(handle, wav, at, min(_CHUNK_FRAMES, last - at))))
-        out.flush()
-        os.fsync(out.fileno())
-    os.replace(draft, target)
+    try:
+        with open(draft, "wb") as out:
+            out.write(wav_header(wav.sample_rate, last - first))
+            for at in range(first, last, _CHUNK_FRAMES):
+                out.write(to_pcm16(read_mono(handle, wav, at, min(_CHUNK_FRAMES, last - at))))
+            out.flush()
+            os.fsync(out.fileno())
+        os.replace(draft, target)
+    except BaseException:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(draft)
+        raise
     return last - first
 
 
+def mounted_folder(folder: str) -> str:
+    """The path of a folder that every executor has mounted; other stores are refused."""
+    parts = urllib.parse.urlsplit(folder)
+    if parts.scheme == "file" and parts.netloc in ("", "localhost"):
+        return urllib.parse.unquote(parts.path)
+    if parts.scheme:
+        raise ValueError(f"clips are written to mounted folders, not to {parts.scheme}: stores")
+    return folder
+
+
 def write_clips(clips: DataFrame, folder: str) -> DataFrame:
     """Write planned clips as mono 16-bit WAV below a shared folder; returns a manifest.
 
+    ``folder`` is a mounted path or a ``file:`` address; other schemes raise.
+
     Each clip is streamed from its byte range into a draft that is renamed when complete, so a
     repeated task leaves the same file and a lost one leaves no partial clip.
     """
     schema = "clip_path string, frames bigint, error string"
+    folder = mounted_folder(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = _OpenFile()

@@ -46,13 +46,22 @@ def _typed(raw: DataFrame, on_bad: str) -> DataFrame:
     return parsed.withColumn("start", checked)
 
 
+def decoded_path(path: Column) -> Column:
+    """A file's path as it is named, from the form in which file metadata escapes it."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def read_detections_csv(
-    spark: SparkSession, paths: str | Sequence[str], on_bad: str = "fail", headers: str = "same"
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    on_bad: str = "fail",
+    headers: str = "same",
+    multiline: bool = True,
 ) -> DataFrame:
     """Result CSVs as parsed detections, columns found by name, extra columns ignored.
 
-    ``headers="same"``: all files share one header; files are split like any large CSV and a
-    file whose header differs is an error. ``headers="mixed"``: many small files with differing
+    ``headers="same"``: all files share one header; a file whose header differs is an error. Quoted
+    fields may hold line ends; with ``multiline=False`` they may not, and large files are split. ``headers="mixed"``: many small files with differing
     columns, each read whole. ``on_bad``: ``fail``, or ``flag`` to add ``malformed``.
     """
     if headers == "mixed":
@@ -66,6 +75,7 @@ def read_detections_csv(
         ignoreLeadingWhiteSpace=True,
         ignoreTrailingWhiteSpace=True,
         enforceSchema=False,
+        multiLine=multiline,
         recursiveFileLookup=True,
     )
     if not raw.columns:
@@ -78,7 +88,7 @@ def read_detections_csv(
         F.trim(F.col(f"`{named[source]}`")).alias(target)
         for source, target in zip(_REQUIRED, _TEXT)
     ]
-    return _typed(raw.select(F.col("_metadata.file_path").alias("file"), *picked), on_bad)
+    return _typed(raw.select(decoded_path(F.col("_metadata.file_path")).alias("file"), *picked), on_bad)
 
 
 def _read_mixed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

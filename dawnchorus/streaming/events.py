@@ -84,39 +84,48 @@ def passes_throttle(
 def _throttle(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     last = state.get if state.exists else None
-    for rows in batches:
-        rows = rows.sort_values("timestamp", kind="stable")
-        # Microseconds from the timestamp, whatever unit pandas holds it in.
-        millis = rows["timestamp"].astype("datetime64[us]").astype("int64") // 1000
-        shown = []
-        for percent, at_ms in zip(rows["percent"], millis):
-            # The clock of a file starts with its first update.
-            last = last if last is not None else (0, int(at_ms))
-            emit, whole = passes_throttle(percent, at_ms, *last)
-            last = (whole, int(at_ms)) if emit else last
-            shown.append(emit)
-        yield rows.loc[shown, ["file", "percent", "timestamp"]]
+    # One trigger's updates of a file come in several Arrow batches, in no order.
+    rows = pd.concat(list(batches), ignore_index=True)
+    rows = rows.sort_values(["timestamp", "percent"], kind="stable")
+    # Microseconds from the timestamp, whatever unit pandas holds it in.
+    millis = rows["timestamp"].astype("datetime64[us]").astype("int64") // 1000
+    shown = []
+    for percent, at_ms in zip(rows["percent"], millis):
+        # The clock of a file starts with its first update.
+        last = last if last is not None else (0, int(at_ms))
+        emit, whole = passes_throttle(percent, at_ms, *last)
+        last = (whole, int(at_ms)) if emit else last
+        shown.append(emit)
     if last is not None and last[0] < 100:
         state.update(last)
+        # Silence until the watermark is past the last update ends a file, too.
+        state.setTimeoutTimestamp(max(int(millis.max()), state.getCurrentWatermarkMs()) + 1)
     elif state.exists:
         state.remove()
+    yield rows.loc[shown, ["file", "percent", "timestamp"]]
 
 
-def throttle_progress(updates: DataFrame) -> DataFrame:
+def throttle_progress(updates: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Progress updates worth showing, decided per file with kept state.
 
     Shown are 0 and 100 percent, steps of ten points, and anything half a second after the last
-    shown one. State is two numbers per unfinished file and goes when the file reaches 100.
+    shown one, in the order of time (ties by percent) within a trigger and across triggers. State is two
+    numbers per unfinished file; it goes when the file reaches 100 or ``watermark`` has passed
+    without an update. Later updates than the watermark allows are dropped.
     """
     return (
         updates.select("file", "percent", "timestamp")
+        .withWatermark("timestamp", watermark)
         .groupBy("file")
         .applyInPandasWithState(
             _throttle,
             "file string, percent float, timestamp timestamp",
             "last_percent int, last_ms bigint",
             "append",
-            GroupStateTimeout.NoTimeout,
+            GroupStateTimeout.EventTimeTimeout,
         )
     )

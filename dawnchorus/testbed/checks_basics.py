@@ -33,7 +33,7 @@ def split_label(t: Tables) -> DataFrame:
     )
 
 
-_MIXED_LABEL = "CASE WHEN doc_id % 3 = 0 THEN replace(substr(text,1,30),' ','_') ELSE substr(text,1,30) || '_' || lang END"
+_MIXED_LABEL = "CASE WHEN doc_id % 3 = 0 THEN replace(text,' ','_') ELSE text || '_' || lang END"
 
 
 @check(
@@ -46,7 +46,7 @@ _MIXED_LABEL = "CASE WHEN doc_id % 3 = 0 THEN replace(substr(text,1,30),' ','_')
         FROM l""",
 )
 def species_names(t: Tables) -> DataFrame:
-    head = F.substring("text", 1, 30)
+    head = F.col("text")
     mixed = F.when(F.col("doc_id") % 3 == 0, F.replace(head, F.lit(" "), F.lit("_"))).otherwise(
         F.concat(head, F.lit("_"), F.col("lang"))
     )

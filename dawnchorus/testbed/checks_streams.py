@@ -154,21 +154,43 @@ def dedupe_completed(t: Tables) -> DataFrame:
     return drained(t, once.select("run", "file"))
 
 
-@check("throttle_progress")
+@check(
+    "throttle_progress",
+    """WITH RECURSIVE u AS (
+         SELECT 'f' || user_id AS file, CAST(least(value / 5, 99.0) AS FLOAT) AS percent,
+                ts AS timestamp, epoch_us(ts) // 1000 AS ms,
+                CAST(floor(CAST(least(value / 5, 99.0) AS FLOAT)) AS INTEGER) AS whole,
+                row_number() OVER (PARTITION BY user_id
+                                   ORDER BY ts, CAST(least(value / 5, 99.0) AS FLOAT)) AS n
+         FROM events),
+       s AS (
+         SELECT *, whole IN (0, 100) OR whole >= 10 AS shown,
+                CASE WHEN whole IN (0, 100) OR whole >= 10 THEN whole ELSE 0 END AS last_percent,
+                ms AS last_ms
+         FROM u WHERE n = 1
+         UNION ALL
+         SELECT file, percent, timestamp, ms, whole, n, pass,
+                CASE WHEN pass THEN whole ELSE last_percent END,
+                CASE WHEN pass THEN ms ELSE last_ms END
+         FROM (SELECT u.*, s.last_percent, s.last_ms,
+                      u.whole IN (0, 100) OR u.whole - s.last_percent >= 10
+                      OR u.ms - s.last_ms >= 500 AS pass
+               FROM s JOIN u ON u.file = s.file AND u.n = s.n + 1))
+       SELECT file, percent, ms AS at_ms FROM s WHERE shown""",
+)
 def throttle_progress(t: Tables) -> DataFrame:
     updates = t.stream("events").select(
         F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"),
         F.least(F.col("value") / 5, F.lit(99.0)).cast("float").alias("percent"),
         F.col("ts").cast("timestamp").alias("timestamp"),
     )
-    return drained(t, live_events.throttle_progress(updates))
+    shown = live_events.throttle_progress(updates)
+    return drained(t, shown.select("file", "percent", F.unix_millis("timestamp").alias("at_ms")))
 
 
 @check(
     "event_log_stream",
-    with_views(
-        "SELECT file, status, detections FROM file_status WHERE status <> 'locked'", "file_status"
-    ),
+    with_views("SELECT file, status, detections FROM file_status", "file_status"),
 )
 def event_log_stream(t: Tables) -> DataFrame:
     """Completion events written as a log, then taken in as a stream."""
@@ -177,7 +199,7 @@ def event_log_stream(t: Tables) -> DataFrame:
     log = t.file_status().select(documents.envelope("file_completed", payload).alias("value"))
     log.write.text(folder)
     envelopes = live_events.stream_event_log(t.spark, folder)
-    done = live_events.completed_files(envelopes).filter("status <> 'locked'")
+    done = live_events.completed_files(envelopes)
     return drained(t, done.select("file", "status", "detections"))
 
 

@@ -141,6 +141,12 @@ def test_extracted_blocks_join_up(spark, tmp_path):
     assert [r["error"] for r in got if r["clip_path"] == "b"] == ["no audio in the range"]
 
 
+def test_clip_folders(spark):
+    assert audio.mounted_folder("file:///a%20b/c") == "/a b/c" and audio.mounted_folder("/a/b") == "/a/b"
+    with pytest.raises(ValueError, match="mounted"):
+        audio.write_clips(spark.range(0), "s3://bucket/out")
+
+
 def test_recordings_never_share_clip_paths(spark):
     rows = [(f"/{d}/r.BirdNET.results.csv", 2.0, 5.0, "a", "A", 0.5) for d in ("x", "y")]
     parsed = spark.createDataFrame(rows, PARSED.simpleString()[7:-1].replace(":", " "))

@@ -158,8 +158,35 @@ def test_broadcast_is_measured(spark):
     rows, size = scale.measured(df)
     assert rows == 1000 and size == 8000
     assert not scale.fits_broadcast(df, 999, 1 << 20) and not scale.fits_broadcast(df, 1000, 1000)
-    with pytest.raises(ValueError):
-        scale.bounded_array(spark.range(scale.BROADCAST_MAX_ROWS + 1), F.struct("id"), ["id"])
+
+
+def test_large_parameter_tables_give_the_same_rows(spark, monkeypatch):
+    from dawnchorus.operators import scoring, species
+
+    sites = spark.createDataFrame([(1.0, 2.0, 3), (1.0, 2.0, 3), (-5.0, 0.5, 40)], "lat double, lon double, week int")
+    weights = spark.createDataFrame([(i, f"s{i}", i / 9, -i / 7, 0.01 * i, 0.1) for i in range(7)], "class_index int, species string, w_lat double, w_lon double, w_week double, bias double")
+    scores = spark.createDataFrame([("a", f"k{i}", i, i / 5) for i in range(4)] + [("b", "k1", 1, 0.5)], "site string, species string, class_index int, score double")
+    mapping = spark.createDataFrame([(f"k{i}", f"K{i}") for i in range(6)], "species_key string, classifier_label string")
+    embeddings = spark.createDataFrame([("f", i, [float(i), 1.0, -2.0]) for i in range(5)], "file string, seg_idx long, embedding array<float>")
+    head = spark.createDataFrame([(i, f"h{i}", [0.5 * (i % 3), float(i), 0.25], 0.1) for i in range(6)], "class_index int, label string, weights array<float>, bias float")
+
+    def all_rows():
+        made = [
+            scoring.occurrence_scores(sites, weights),
+            species.project_scores(scores, mapping, ["site"]),
+            scoring.classify_embeddings(embeddings, head, 2),
+            scoring.classify_embeddings(embeddings, head, None),
+        ]
+        return [sorted(map(str, df.collect())) for df in made]
+
+    before = all_rows()
+    assert [len(rows) for rows in before] == [14, 12, 10, 30]
+    monkeypatch.setattr(scale, "BROADCAST_MAX_ROWS", 1)
+    assert all_rows() == before
+    for bad in ([1.0], None):
+        broken = spark.createDataFrame([("f", 0, bad)], "file string, seg_idx long, embedding array<float>")
+        with pytest.raises(Exception, match="embedding"):
+            scoring.classify_embeddings(broken, head).collect()
 
 
 def test_big_sides_are_not_measured(spark, monkeypatch):

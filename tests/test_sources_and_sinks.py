@@ -46,6 +46,22 @@ def test_csv_header_only_and_missing_column(spark, tmp_path, headers):
         results.read_detections_csv(spark, csv(tmp_path, "Start (s),End (s)\n1,2\n"), headers=headers).collect()
 
 
+def test_csv_line_ends_in_fields_and_odd_paths(spark, tmp_path):
+    folder = tmp_path / "my data+x"
+    folder.mkdir()
+    (folder / "rec one%41.csv").write_text(f'{HEADER}\n0.0,3.0,a,"two\nlines, ""q""",0.5\n')
+    got = results.read_detections_csv(spark, str(folder)).collect()
+    assert [r["common_name"] for r in got] == ['two\nlines, "q"']
+    assert got[0]["file"].endswith("/my data+x/rec one%41.csv")
+
+
+def test_partitioned_parquet_with_absent_columns(spark, tmp_path):
+    det = detections(spark, ROWS).withColumn("site", F.lit("s")).withColumn("week", F.lit(3))
+    tables.write_detections_parquet(det, str(tmp_path / "p"), ["week", "lat"], ["site"])
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert dict(back.dtypes)["week"] == "smallint" and back.filter("site = 's' AND lat IS NULL").count() == len(ROWS)
+
+
 def test_csv_columns_in_another_order(spark, tmp_path):
     csv(tmp_path, f"{HEADER}\n0,3,a,A,0.5\n", "one.csv")
     folder = csv(tmp_path, "Confidence,Common name,Scientific name,End (s),Start (s)\n0.25,B,b,6,3\n", "two.csv")
@@ -146,7 +162,7 @@ def test_documents(spark, tmp_path):
     assert found["r1.wav"]["summary"] == {"total_detections": 2, "unique_species": 2, "audio_duration_seconds": 60.0}
     assert found["r1.wav"]["settings"]["week"] == 24 and "week" not in found["r2.wav"]["settings"]
     assert [d["start_time"] for d in found["r1.wav"]["detections"]] == [0.0, 3.0]
-    assert found["quiet.wav"]["detections"] == [] and "part" not in found["r1.wav"]
+    assert found["quiet.wav"]["detections"] == [] and (found["r1.wav"]["part"], found["r1.wav"]["parts"]) == (0, 1)
     back = results.read_result_documents(spark, str(tmp_path / "d"))
     # One JSON object per line also reads line by line.
     by_line = spark.read.schema(schemas.RESULT_DOCUMENT).json(str(tmp_path / "d"))

@@ -69,6 +69,19 @@ def test_progress_throttle(spark, tmp_path):
     assert [round(r["percent"], 1) for r in shown.orderBy("timestamp").collect()] == [0.5, 12.0, 16.0, 99.9, 100.0]
 
 
+def test_throttle_orders_large_triggers_and_forgets(spark, tmp_path):
+    draw = random.Random(5)
+    steps = [(i * 3, round(i / 400, 2)) for i in range(12_000)]
+    last, want = (0, 0), 0
+    for ms, percent in steps:
+        emit, whole = log.passes_throttle(percent, ms, *last)
+        last = (whole, ms) if emit else last
+        want += emit
+    draw.shuffle(steps)
+    updates = log.progress_updates(log.stream_event_log(spark, write_log(tmp_path, [[progress(ms, "a", p) for ms, p in steps]]), 1))
+    assert run(log.throttle_progress(updates), tmp_path, name="large").count() == want
+
+
 def test_throttle_rule():
     assert log.passes_throttle(-3.0, 0, 50, 0) == (True, 0)
     assert log.passes_throttle(19.9, 10, 10, 0) == (False, 19)
