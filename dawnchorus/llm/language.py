@@ -147,14 +147,21 @@ def train_languages(
     """Learn from labelled texts, such as species labels of localised label files.
 
     Of each language at most ``sample`` rows are read, those with the smallest hash of their text;
-    whole texts are used. Every pair of families, and every pair of languages within a family, is
+    whole texts are used, equal ones once. Every pair of families, and every pair of languages within a family, is
     trained as a group of its own on the executors; only the weights come to the driver. Rows with
-    a null text or language are not used; repeated texts may fill a sample.
+    a null text or language are not used.
     """
     rows = labels.select(F.col(label).alias("label"), F.col(language).alias("language"))
     rows = rows.where("label IS NOT NULL AND language IS NOT NULL")
-    first = Window.partitionBy("language").orderBy(F.xxhash64("label"), F.xxhash64(F.reverse("label")))
-    chosen = durable(rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).drop("n"))
+    rows = rows.withColumn("h", F.xxhash64("label"))
+    # Few rows go further: of each language those below the hash that about four times the sample is below.
+    counts = rows.groupBy("language").count().collect()
+    limits = [(r[0], min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * sample / r[1])))) for r in counts]
+    table = rows.sparkSession.createDataFrame(limits, "language string, below long")
+    near = rows.join(F.broadcast(table), "language").where("h <= below").select("language", "label", "h").distinct()
+    first = Window.partitionBy("language").orderBy("h", F.xxhash64(F.reverse("label")))
+    chosen = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
+    chosen = durable(chosen.select("label", "language"))
     names = sorted(r[0] for r in chosen.select("language").distinct().collect())
     families: dict[str, list[str]] = {}
     for name in names:
