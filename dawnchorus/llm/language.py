@@ -79,12 +79,14 @@ def features(text: str) -> np.ndarray | None:
 
 
 def train_pair(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 30) -> np.ndarray:
-    """Weights (the last is the bias) of a linear support vector machine, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Weights (the last is the bias) of a linear support vector machine, by dual coordinate descent.
+
+    The last column of ``x`` is 1 in every row. ``x`` is the one large array here; no copy of it is made.
+    """
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
     # Classes weigh the same, whatever their sizes.
     share = np.where(y > 0, (y < 0).sum(), (y > 0).sum()) * 2 / len(y)
-    diagonal = (x * x).sum(axis=1) + 0.5 / (cost * share)
+    diagonal = np.einsum("ij,ij->i", x, x) + 0.5 / (cost * share)
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(x)):
@@ -183,11 +185,15 @@ def train_languages(
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["side", "label"])
-        known = [(features(t), s) for t, s in zip(group["label"], group["side"], strict=True)]
-        known = [(f, s) for f, s in known if f is not None]
-        y = np.array([s for _, s in known])
+        x, sides = np.ones((len(group), FEATURES + 1)), []
+        for text, side in zip(group["label"], group["side"], strict=True):
+            found = features(text)
+            if found is not None:
+                x[len(sides), :FEATURES] = found
+                sides.append(side)
+        y = np.array(sides)
         if len(set(y)) == 2:
-            w = train_pair(np.array([f for f, _ in known]), y)
+            w = train_pair(x[: len(y)], y)
         else:
             w = np.zeros(FEATURES + 1)
             w[-1] = y[0] if len(y) else 0.0
