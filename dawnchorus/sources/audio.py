@@ -30,6 +30,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Frames read from a file at a time when a clip is cut.
 _CHUNK_FRAMES = 1 << 20
+# Bytes of samples that a task hands on at a time.
+_BATCH_BYTES = 32 << 20
+# Rows that it hands on at a time, where they are short.
+_BATCH_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -170,20 +174,35 @@ def decode_segments(grid: DataFrame, model_samples: int, model_rate: int) -> Dat
     """Samples of every segment at the model's rate, zero-padded to ``model_samples``.
 
     The grid comes first, so a long recording is read by many tasks, each seeking to its own
-    byte ranges.
+    byte ranges. A segment of an unreadable file has null samples and the reason in ``error``;
+    other files go on. Tasks hand on at most ``_BATCH_BYTES`` of samples at a time.
     """
-    schema = "file string, seg_idx bigint, start_s float, end_s float, samples array<float>"
+    schema = (
+        "file string, seg_idx bigint, start_s float, end_s float, samples array<float>, error string"
+    )
+    at_once = max(1, _BATCH_BYTES // (4 * max(1, model_samples)))
+
+    def samples_of(current: _OpenFile, path: str, start: int, size: int):
+        try:
+            handle, wav = current.get(path)
+            part = fit_length(read_mono(handle, wav, start, size), size)
+        except (OSError, ValueError, struct.error) as error:
+            current.close()
+            return None, str(error)
+        return fit_length(resample(part, wav.sample_rate, model_rate), model_samples), None
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = _OpenFile()
-        for rows in batches:
-            samples = []
-            for path, start, size in zip(rows["file"], rows["start_sample"], rows["segment_samples"]):
-                handle, wav = current.get(path)
-                part = fit_length(read_mono(handle, wav, int(start), int(size)), int(size))
-                part = resample(part, wav.sample_rate, model_rate)
-                samples.append(fit_length(part, model_samples))
-            yield rows[["file", "seg_idx", "start_s", "end_s"]].assign(samples=samples)
+        for batch in batches:
+            for first in range(0, len(batch), at_once):
+                rows = batch.iloc[first : first + at_once]
+                places = zip(rows["file"], rows["start_sample"], rows["segment_samples"])
+                found = [samples_of(current, path, int(start), int(size)) for path, start, size in places]
+                samples, errors = zip(*found)
+                yield rows[["file", "seg_idx", "start_s", "end_s"]].assign(
+                    samples=pd.Series(samples, index=rows.index, dtype=object),
+                    error=pd.Series(errors, index=rows.index, dtype=object),
+                )
         current.close()
 
     columns = ["file", "seg_idx", "start_s", "end_s", "start_sample", "segment_samples"]
@@ -212,8 +231,8 @@ def extract_clips(clips: DataFrame, block_s: float = 60.0) -> DataFrame:
     """Mono samples of planned clips, in blocks of at most ``block_s`` seconds.
 
     Needs (audio_path, clip_path, start, end). Blocks keep a clip of any length within row
-    limits. A clip that yields no audio gives one row with the reason in ``error``; other
-    clips go on.
+    limits. A clip that yields no audio gives one row with the reason in ``error``, and one whose
+    reading breaks off a row behind its last block; other clips go on.
     """
     schema = (
         "clip_path string, block int, sample_rate int, samples array<float>, error string"
@@ -221,23 +240,35 @@ def extract_clips(clips: DataFrame, block_s: float = 60.0) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = _OpenFile()
+        held, size = [], 0
         for rows in batches:
             for row in rows.itertuples(index=False):
                 for block, rate, samples, error in _clip_blocks(current, row, block_s):
-                    yield pd.DataFrame(
-                        {
-                            "clip_path": [row.clip_path],
-                            "block": [block],
-                            "sample_rate": pd.array([rate], dtype="Int64"),
-                            "samples": [samples],
-                            "error": [error],
-                        }
-                    )
+                    held.append((row.clip_path, block, rate, samples, error))
+                    size += 0 if samples is None else samples.nbytes
+                    if size >= _BATCH_BYTES or len(held) >= _BATCH_ROWS:
+                        yield _block_rows(held)
+                        held, size = [], 0
+        if held:
+            yield _block_rows(held)
         current.close()
 
     return _spread(clips).mapInPandas(run, schema)
 
 
+def _block_rows(held: list[tuple]) -> pd.DataFrame:
+    paths, blocks, rates, samples, errors = zip(*held)
+    return pd.DataFrame(
+        {
+            "clip_path": pd.Series(paths, dtype=object),
+            "block": blocks,
+            "sample_rate": pd.array(rates, dtype="Int64"),
+            "samples": pd.Series(samples, dtype=object),
+            "error": pd.Series(errors, dtype=object),
+        }
+    )
+
+
 def _spread(clips: DataFrame) -> DataFrame:
     """One task handles neighbouring clips of a file; a file with many clips is split."""
     columns = ["audio_path", "clip_path", "start", "end"]
@@ -249,6 +280,7 @@ def _spread(clips: DataFrame) -> DataFrame:
 
 
 def _clip_blocks(current: _OpenFile, row, block_s: float):
+    done = 0
     try:
         if not (0 <= row.start < row.end < float("inf")):
             raise ValueError("invalid time range")
@@ -262,8 +294,10 @@ def _clip_blocks(current: _OpenFile, row, block_s: float):
         step = max(1, int(block_s * wav.sample_rate))
         for block, at in enumerate(range(first, last, step)):
             yield block, wav.sample_rate, read_mono(handle, wav, at, min(step, last - at)), None
+            done = block + 1
     except (OSError, ValueError, struct.error) as error:
-        yield 0, None, None, str(error)
+        current.close()
+        yield done, None, None, str(error)
 
 
 def to_pcm16(samples: np.ndarray) -> bytes:

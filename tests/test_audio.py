@@ -61,6 +61,20 @@ def test_decode_mono_and_padding(spark, tmp_path):
     assert np.allclose(segments[2]["samples"][4000:], 0)
 
 
+def test_unreadable_file_keeps_its_segments(spark, tmp_path, monkeypatch):
+    # Batches of one segment each.
+    monkeypatch.setattr(audio, "_BATCH_BYTES", 1)
+    pcm16(tmp_path / "a.wav", tone(8000, 3, 440), 8000)
+    pcm16(tmp_path / "b.wav", tone(8000, 2, 440), 8000)
+    grid = segment_grid(audio.probe_wav(recording_inventory(spark, [str(tmp_path)])), 1.0)
+    grid = spark.createDataFrame(grid.collect(), grid.schema)
+    (tmp_path / "b.wav").write_bytes(b"broken")
+    got = audio.decode_segments(grid, 8000, 8000).collect()
+    good = [r for r in got if r["error"] is None]
+    assert len(good) == 3 and all(len(r["samples"]) == 8000 for r in good)
+    assert [r["error"] for r in got if r["samples"] is None] == ["not a WAV file"] * 2
+
+
 def test_resampling_keeps_tone_and_removes_alias(spark, tmp_path):
     mixed = tone(48000, 1, 1000) + tone(48000, 1, 15000, 0.4)
     pcm16(tmp_path / "m.wav", mixed, 48000)

@@ -99,6 +99,14 @@ def test_clip_path(spark):
 
 
 def test_number_text(spark):
+    for value in (0.15, 0.35, 1.05, 0.95, 0.25, 0.45, 2.5, 7.05, 1e-20, 0.04, 123456.65, 3599.95, 98765432.25):
+        for places in (1, 4):
+            shown = one(spark, value, lambda c: numbers.fixed(c, places), "double")
+            assert shown == f"{value:.{places}f}", (value, places)
+    for value in (0.00005, 0.00015, 0.12345, 0.99995, 5.0000000000000004e-05):
+        assert one(spark, value, lambda c: numbers.fixed(c, 4), "double") == f"{value:.4f}"
+    assert one(spark, float("nan"), lambda c: numbers.fixed(c, 1), "double") == "NaN"
+    assert one(spark, float("nan"), numbers.plain, "double") == "NaN"
     assert one(spark, 0.25, lambda c: numbers.fixed(c, 1), "double") == "0.2"
     assert one(spark, 0.75, lambda c: numbers.fixed(c, 1), "double") == "0.8"
     assert one(spark, 0.35, lambda c: numbers.fixed(c, 1), "float") == "0.3"
