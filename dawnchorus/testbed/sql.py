@@ -58,7 +58,8 @@ VIEWS: dict[str, str] = {
         SELECT p_name || '_' || p_brand AS label, CAST(min(p_partkey) AS INTEGER) AS class_index
         FROM part GROUP BY 1""",
     "geo_labels": """
-        SELECT DISTINCT upper(p_name) || '_X' AS label FROM part WHERE length(p_name) % 3 <> 0""",
+        SELECT DISTINCT upper(CASE WHEN p_name LIKE '%bolt' THEN 'other ' || p_name ELSE p_name END) || '_X' AS label
+        FROM part""",
     "listed": """
         SELECT DISTINCT p_name || '_' || p_brand AS label FROM part WHERE p_size > 25""",
     "visits": f"""
@@ -66,13 +67,16 @@ VIEWS: dict[str, str] = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey""",
     "occ": """
-        SELECT DISTINCT p_name || '_occ' AS species, length(p_name) AS class_index,
+        SELECT DISTINCT CASE WHEN p_name LIKE '%ring' THEN 'other ' || p_name ELSE p_name END || '_occ' AS species,
+               length(p_name) AS class_index,
                CAST((length(p_name) * 13 % 101) / 100.0 AS FLOAT) AS score
-        FROM part WHERE length(p_name) % 5 <> 0""",
+        FROM part""",
     "occ_sites": """
-        SELECT DISTINCT site, week, p_name || '_occ' AS species, length(p_name) AS class_index,
+        SELECT DISTINCT site, week,
+               CASE WHEN p_name LIKE '%ring' THEN 'other ' || p_name ELSE p_name END || '_occ' AS species,
+               length(p_name) AS class_index,
                CAST(((length(p_name) * 13 + site * 7 + week * 3) % 101) / 100.0 AS FLOAT) AS score
-        FROM visits WHERE (site + week) % 7 <> 0""",
+        FROM visits""",
     "weights": """
         SELECT DISTINCT p_name AS species,
                (length(p_name) * 7 % 11 - 5) / 100.0::DOUBLE AS w_lat,

@@ -140,11 +140,18 @@ class Tables:
         )
 
     def geo_labels(self) -> DataFrame:
+        """All part names; bolts go by a name that no classifier label has."""
         names = self.raw("part").select("p_name").distinct()
-        return names.filter(F.length("p_name") % 3 != 0).select(
-            F.concat(F.upper("p_name"), F.lit("_X")).alias("label")
+        return names.select(
+            F.concat(F.upper(self._renamed("bolt")), F.lit("_X")).alias("label")
         )
 
+    @staticmethod
+    def _renamed(kind: str):
+        """The part name, or another name for parts of one kind."""
+        other = F.concat(F.lit("other "), F.col("p_name"))
+        return F.when(F.endswith(F.col("p_name"), F.lit(kind)), other).otherwise(F.col("p_name"))
+
     def listed(self) -> DataFrame:
         """A species list: labels of the larger parts."""
         return self.raw("part").filter("p_size > 25").select(self._label()).distinct()
@@ -177,21 +184,21 @@ class Tables:
         )
 
     def occ(self) -> DataFrame:
-        """Occurrence scores of one place: the species seen at each site's best."""
-        names = self.raw("part").select("p_name").distinct().filter(F.length("p_name") % 5 != 0)
+        """Occurrence scores of one place for all part names; rings are listed by another name."""
+        names = self.raw("part").select("p_name").distinct()
         return names.select(
-            F.concat(F.col("p_name"), F.lit("_occ")).alias("species"),
+            F.concat(self._renamed("ring"), F.lit("_occ")).alias("species"),
             F.length("p_name").alias("class_index"),
             self._occurrence(),
         )
 
     def occ_sites(self) -> DataFrame:
         """Occurrence scores per site and week."""
-        seen = self._visits().distinct().filter((F.col("site") + F.col("week")) % 7 != 0)
+        seen = self._visits().distinct()
         return seen.select(
             "site",
             "week",
-            F.concat(F.col("p_name"), F.lit("_occ")).alias("species"),
+            F.concat(self._renamed("ring"), F.lit("_occ")).alias("species"),
             F.length("p_name").alias("class_index"),
             self._occurrence("site", "week"),
         )
