@@ -86,7 +86,7 @@ def train_pair(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 3
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
     # Classes weigh the same, whatever their sizes.
     share = np.where(y > 0, (y < 0).sum(), (y > 0).sum()) * 2 / len(y)
-    diagonal = np.einsum("ij,ij->i", x, x) + 0.5 / (cost * share)
+    diagonal = np.einsum("ij,ij->i", x, x, dtype=np.float64) + 0.5 / (cost * share)
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(x)):
@@ -185,7 +185,7 @@ def train_languages(
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["side", "label"])
-        x, sides = np.ones((len(group), FEATURES + 1)), []
+        x, sides = np.ones((len(group), FEATURES + 1), dtype=np.float32), []
         for text, side in zip(group["label"], group["side"], strict=True):
             found = features(text)
             if found is not None:

@@ -18,8 +18,8 @@ from dawnchorus.llm.shared import slices
 SPACE = "▁"
 NORMAL, CONTROL, BYTE = 1, 3, 6
 # Words kept by one Python worker, twice over.
-WORDS_REMEMBERED = 200_000
-PAIRS_REMEMBERED = 1_000_000
+WORDS_REMEMBERED = 100_000
+PAIRS_REMEMBERED = 250_000
 
 
 class PieceCodec:
