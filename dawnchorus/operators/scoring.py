@@ -34,7 +34,8 @@ def score_segments(
     """Predictions of a pluggable model for segments with a ``samples`` array.
 
     The model is built once per task and fed batches of segments. Keeping the best ``k``
-    happens in the task, so only those rows leave it.
+    happens in the task, so only those rows leave it. Segments that could not be decoded (null
+    samples) have no predictions.
     """
     if not K.MIN_BATCH_SIZE <= batch_size <= K.MAX_BATCH_SIZE:
         raise ValueError(f"batch size must be between 1 and {K.MAX_BATCH_SIZE}")
@@ -66,7 +67,7 @@ def score_segments(
                 )
 
     columns = segments.select("file", "seg_idx", "start_s", "end_s", "samples")
-    return columns.mapInPandas(run, _PREDICTION)
+    return columns.where(F.col("samples").isNotNull()).mapInPandas(run, _PREDICTION)
 
 
 def classify_embeddings(

@@ -73,6 +73,8 @@ def test_unreadable_file_keeps_its_segments(spark, tmp_path, monkeypatch):
     good = [r for r in got if r["error"] is None]
     assert len(good) == 3 and all(len(r["samples"]) == 8000 for r in good)
     assert [r["error"] for r in got if r["samples"] is None] == ["not a WAV file"] * 2
+    scored = score_segments(audio.decode_segments(grid, 8000, 8000), lambda: lambda batch: batch[:, :1] * 0 + 1, ["a"])
+    assert scored.count() == 3
 
 
 def test_resampling_keeps_tone_and_removes_alias(spark, tmp_path):
