@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dawnchorus.llm.shared import mapped
+
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
 _MARK = re.compile(r"<(\\*)\|")
@@ -128,7 +130,7 @@ def format_conversations(
             )
 
     schema = f"conversation {kinds[0]}, turn {kinds[1]}, formatted string, loss_start long, loss_chars long"
-    return turns.select(conversation, turn, role, text).mapInArrow(run, schema)
+    return mapped(turns.select(conversation, turn, role, text), run, schema)
 
 
 class _Reading:
@@ -186,7 +188,7 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
         f"conversation {kind.simpleString()}, n_turns long, turns_sha256 string, "
         "loss_chars long, loss_sha256 string, formatted_chars long"
     )
-    return ordered.mapInArrow(run, schema)
+    return mapped(ordered, run, schema)
 
 
 def key_type(kind) -> pa.DataType:

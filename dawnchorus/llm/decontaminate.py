@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dawnchorus.llm.shared import mapped
+
 K1, B = 1.2, 0.75
 # Share of an item's own score that a passage must reach.
 THRESHOLD = 0.6
@@ -243,7 +245,7 @@ def _pass(texts: DataFrame, shared, text: str, threshold: float, overlap: float)
             columns = [*batch.columns[:-1], pa.array(rows, before.type)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return texts.mapInArrow(run, texts.schema)
+    return mapped(texts, run, texts.schema)
 
 
 def question_and_answer(items: DataFrame, text: str = "text") -> DataFrame:

@@ -10,8 +10,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dawnchorus.llm.shared import durable, slices
+from dawnchorus.llm.shared import durable, mapped, slices
 
 # Family of each language code; other codes form a family of their own.
 FAMILIES = {
@@ -207,31 +208,39 @@ def train_languages(
 
 
 def identify_language(
-    labels: DataFrame, model: LanguageModel, key: str = "class_index", label: str = "label"
+    labels: DataFrame,
+    model: LanguageModel,
+    key: str = "class_index",
+    label: str = "label",
+    keep: bool = False,
 ) -> DataFrame:
     """Language of every label (species name, or any longer text), by ``model``.
 
     Returns one row per input row: ``key``, ``language`` and ``score`` (0 to 1: the family's
     probability times the language's within it). A null text, or one without letters, is
     ``und`` with score 0; so is every text if the model knows no language. Keys may be null or
-    repeated; further columns are ignored. Rows need no shuffle; the weights are as many as the pairs of
+    repeated; further columns are ignored, or with ``keep`` all columns are returned before ``language`` and
+    ``score`` (which replace columns of these names). Rows need no shuffle; the weights are as many as the pairs of
     languages.
     """
     spark = labels.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    kind = labels.schema[key].dataType
+    rows = labels.drop("language", "score") if keep else labels.select(key, label)
+    place = rows.columns.index(label)
+    kept = rows.schema.fields if keep else rows.schema.fields[:1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = shared.value.predict(batch.column(1).to_pylist())
+            found = shared.value.predict(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    pa.array([r[0] for r in rows], pa.string()),
-                    pa.array([r[1] for r in rows], pa.float64()),
+                    *batch.columns[: len(names) - 2],
+                    pa.array([r[0] for r in found], pa.string()),
+                    pa.array([r[1] for r in found], pa.float64()),
                 ],
-                names=[key, "language", "score"],
+                names=names,
             )
 
-    schema = f"`{key}` {kind.simpleString()}, language string, score double"
-    return labels.select(key, label).mapInArrow(run, schema)
+    schema = T.StructType([*kept, T.StructField("language", T.StringType()), T.StructField("score", T.DoubleType())])
+    names = schema.names
+    return mapped(rows, run, schema)

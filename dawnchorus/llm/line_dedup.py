@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.shared import durable
+from dawnchorus.llm.shared import durable, mapped
 from dawnchorus.scale import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, fits_broadcast
 
 # A removed passage has at least so many words.
@@ -148,7 +148,7 @@ def _chunk_rows(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["file", "version", "key", "start", "end"])
 
     schema = f"file {kind}, version int, key long, start long, end long"
-    return files.mapInArrow(run, schema)
+    return mapped(files, run, schema)
 
 
 def _compared(pairs: DataFrame, min_words: int) -> DataFrame:
@@ -181,7 +181,7 @@ def _compared(pairs: DataFrame, min_words: int) -> DataFrame:
             )
 
     schema = f"file {kind}, version int, start long, end long"
-    return pairs.select(*columns).mapInArrow(run, schema)
+    return mapped(pairs.select(*columns), run, schema)
 
 
 def _pieces(spans: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def _pieces(spans: DataFrame) -> DataFrame:
             )
 
     span = "array<struct<start: long, end: long>>"
-    return listed.mapInArrow(run, f"of {kind}, of_version int, removed {span}, kept {span}")
+    return mapped(listed, run, f"of {kind}, of_version int, removed {span}, kept {span}")
 
 
 def _bounded(side: DataFrame) -> bool:

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from dawnchorus.llm.shared import mapped
+
 # Elements whose text is never content, or is no text at all.
 SKIPPED = frozenset(
     "script style noscript template nav header footer aside form button select textarea input "
@@ -249,4 +251,4 @@ def page_texts(
             )
 
     schema = f"`{page}` {kinds[0]}, `{url}` {kinds[1]}, text string, n_chars long"
-    return pages.select(page, url, html).mapInArrow(run, schema)
+    return mapped(pages.select(page, url, html), run, schema)

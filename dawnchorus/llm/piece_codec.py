@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as model_format
 
-from dawnchorus.llm.shared import slices
+from dawnchorus.llm.shared import mapped, slices
 
 SPACE = "▁"
 NORMAL, CONTROL, BYTE = 1, 3, 6
@@ -246,4 +246,4 @@ def piece_round_trip(
 
     schema = f"`{file}` {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return results.select(file, content).mapInArrow(run, schema)
+    return mapped(results.select(file, content), run, schema)

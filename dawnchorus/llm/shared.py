@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dawnchorus.session import checkpoint_root
 
+# Bytes of one Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+
 _SPACE = re.compile(r"\s")
 
 
@@ -24,6 +28,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def mapped(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
+) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes: whole texts make rows far wider than most.
+
+    Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session; a larger row is a batch of its own.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def slices(text: str, size: int = 1 << 20) -> Iterator[str]:
     """A text cut before white space into slices of about ``size`` characters; nothing is lost."""
     at = 0

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.shared import connected, durable
+from dawnchorus.llm.shared import connected, durable, mapped
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -67,7 +67,7 @@ def fingerprints(results: DataFrame, file: str = "file", content: str = "content
             bits = pa.array(found.view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), bits], names=["file", "bits"])
 
-    return results.select(file, content).mapInArrow(run, f"file {kind.simpleString()}, bits long")
+    return mapped(results.select(file, content), run, f"file {kind.simpleString()}, bits long")
 
 
 def _distance(values: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -203,7 +203,7 @@ def near_links(classes: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["rep", "bits", "shard", "home"])
 
     kind = classes.schema["rep"].dataType.simpleString()
-    placed = classes.select("rep", "bits").mapInArrow(place, f"rep {kind}, bits long, shard long, home boolean")
+    placed = mapped(classes.select("rep", "bits"), place, f"rep {kind}, bits long, shard long, home boolean")
 
     def search(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("home", ascending=False, kind="stable")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from dawnchorus.llm.shared import slices
+from dawnchorus.llm.shared import mapped, slices
 
 # Words kept with their counts by one Python worker.
 WORDS_REMEMBERED = 400_000
@@ -199,4 +199,4 @@ def result_token_counts(
             )
 
     schema = f"`{file}` {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
-    return results.select(file, content).mapInArrow(run, schema)
+    return mapped(results.select(file, content), run, schema)
