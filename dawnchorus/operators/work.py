@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dawnchorus import constants as K
-from dawnchorus.functions.paths import base_name, join_path, parent_path, stem
+from dawnchorus.functions.paths import base_name, join_path, output_path, parent_path, stem
 from dawnchorus.scale import is_small
 
 
@@ -32,6 +32,24 @@ def pending_recordings(
     return inventory.join(done, "file", "left_anti")
 
 
+def outputs_of(
+    listing: DataFrame, inventory: DataFrame, formats: Sequence[str], folder: str | None = None
+) -> DataFrame:
+    """(file, format) of every requested result of a recording that is there, for ``pending_recordings``.
+
+    ``listing`` has the ``path`` of each existing file; a result is there if the path that the recording has in that
+    format (beside it, or in ``folder``) is listed. Paths of both tables have to be written alike.
+    """
+    unknown = sorted(set(formats) - set(K.OUTPUT_SUFFIXES))
+    if unknown:
+        raise ValueError(f"unknown formats: {unknown}")
+    wanted = F.array(*[F.lit(f) for f in sorted(set(formats))]).cast("array<string>")
+    target = None if folder is None else F.lit(folder)
+    expected = inventory.select("file", F.explode(wanted).alias("format"))
+    expected = expected.withColumn("path", output_path(F.col("file"), F.col("format"), target))
+    return expected.join(listing.select("path"), "path", "left_semi").select("file", "format")
+
+
 def _strip(text: Column, suffix: str) -> Column:
     """Text without the suffix; null when it does not end with it."""
     kept = F.substr(text, F.lit(1), F.length(text) - len(suffix))

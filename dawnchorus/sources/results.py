@@ -22,7 +22,7 @@ _REQUIRED = CSV_HEADER[:5]
 _TEXT = ["start", "end", "scientific_name", "common_name", "confidence"]
 
 
-def _typed(raw: DataFrame, on_bad: str) -> DataFrame:
+def _typed(raw: DataFrame, on_bad: str, also: Sequence[str] = ()) -> DataFrame:
     """Text columns to numbers; an unreadable number is an error or marks the row."""
 
     def number(name: str, kind: str) -> Column:
@@ -35,12 +35,11 @@ def _typed(raw: DataFrame, on_bad: str) -> DataFrame:
         F.coalesce("scientific_name", F.lit("")).alias("scientific_name"),
         F.coalesce("common_name", F.lit("")).alias("common_name"),
         number("confidence", "float").alias("confidence"),
+        *also,
     )
     unreadable = F.col("start").isNull() | F.col("end").isNull() | F.col("confidence").isNull()
     if on_bad == "flag":
         return parsed.withColumn("malformed", unreadable)
-    if on_bad != "fail":
-        raise ValueError(f"unknown policy {on_bad!r}")
     failed = F.raise_error(F.concat(F.lit("unreadable number in "), F.col("file")))
     checked = F.when(unreadable, failed.cast("double")).otherwise(F.col("start"))
     return parsed.withColumn("start", checked)
@@ -62,10 +61,18 @@ def read_detections_csv(
 
     ``headers="same"``: all files share one header; a file whose header differs is an error. Quoted
     fields may hold line ends; with ``multiline=False`` they may not, and large files are split. ``headers="mixed"``: many small files with differing
-    columns, each read whole. ``on_bad``: ``fail``, or ``flag`` to add ``malformed``.
+    columns, each read whole. ``on_bad``: ``fail``, or ``flag`` to add ``malformed``; mixed files then also
+    give ``line`` (where the row begins, the header being line 1) and ``error``. A file that can't be read to its
+    end, or lacks a required column, gives its rows so far and one row with null ``line`` and the reason in ``error``.
     """
+    if on_bad not in ("fail", "flag"):
+        raise ValueError(f"unknown policy {on_bad!r}")
     if headers == "mixed":
-        return _typed(_read_mixed(spark, paths), on_bad)
+        raw = _read_mixed(spark, paths, strict=on_bad == "fail")
+        if on_bad == "fail":
+            return _typed(raw, on_bad)
+        placed = _typed(raw, on_bad, ["line", "error"])
+        return placed.withColumn("malformed", F.col("malformed") | F.col("error").isNotNull())
     if headers != "same":
         raise ValueError(f"unknown header mode {headers!r}")
     raw = spark.read.csv(
@@ -91,21 +98,36 @@ def read_detections_csv(
     return _typed(raw.select(decoded_path(F.col("_metadata.file_path")).alias("file"), *picked), on_bad)
 
 
-def _read_mixed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def _read_mixed(spark: SparkSession, paths: str | Sequence[str], strict: bool) -> DataFrame:
+    def rows_of(content: bytes) -> Iterator[tuple]:
+        """(line, error, cells...) of every row; raises where the file breaks off."""
+        reader = csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""))
+        header = [h.strip() for h in next(reader, [])]
+        missing = [c for c in _REQUIRED if c not in header]
+        if header and missing:
+            raise ValueError(f"missing required columns {missing}")
+        at = [header.index(c) for c in _REQUIRED] if header else []
+        line = reader.line_num + 1
+        for row in reader if header else ():
+            if row:
+                short = None if len(row) > max(at) else f"line {line}: {len(row)} fields"
+                if short and strict:
+                    raise ValueError(short)
+                yield line, short, *[row[i].strip() if i < len(row) else None for i in at]
+            line = reader.line_num + 1
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
             for path, content in zip(files["path"], files["content"]):
-                text = content.decode("utf-8-sig")
-                reader = csv.reader(io.StringIO(text, newline=""))
-                header = [h.strip() for h in next(reader, [])]
-                missing = [c for c in _REQUIRED if c not in header]
-                if header and missing:
-                    raise ValueError(f"{path}: missing required columns {missing}")
-                if not header:
-                    continue
-                at = [header.index(c) for c in _REQUIRED]
-                rows = [[r[i].strip() for i in at] for r in reader if r]
-                frame = pd.DataFrame(rows, columns=_TEXT)
+                rows = []
+                try:
+                    rows.extend(rows_of(content))
+                except (ValueError, csv.Error) as error:
+                    if strict:
+                        raise ValueError(f"{path}: {error}") from error
+                    rows.append((None, str(error), *[None] * len(_TEXT)))
+                frame = pd.DataFrame(rows, columns=["line", "error", *_TEXT], dtype=object)
+                frame["line"] = frame["line"].astype("Int64")
                 frame.insert(0, "file", path)
                 yield frame
 
@@ -115,7 +137,8 @@ def _read_mixed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         .load(paths)
         .select("path", "content")
     )
-    return files.mapInPandas(parse, "file string, " + ", ".join(f"{c} string" for c in _TEXT))
+    cells = ", ".join(f"{c} string" for c in _TEXT)
+    return files.mapInPandas(parse, f"file string, line bigint, error string, {cells}")
 
 
 def read_detections_parquet(

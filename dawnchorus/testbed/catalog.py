@@ -1,6 +1,7 @@
 """All check queries."""
 
 from dawnchorus.testbed import (  # noqa: F401
+    checks_audio,
     checks_basics,
     checks_clips,
     checks_formats,

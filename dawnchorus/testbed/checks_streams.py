@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dawnchorus.operators import quality, species
-from dawnchorus.operators.work import pending_recordings
 from dawnchorus.sinks import documents, tables
 from dawnchorus.sources import events as event_source
 from dawnchorus.sources import lists, results
@@ -203,36 +202,6 @@ def event_log_stream(t: Tables) -> DataFrame:
     return drained(t, done.select("file", "status", "detections"))
 
 
-@check(
-    "stream_pending",
-    with_views(
-        """SELECT file FROM recordings WHERE file NOT IN (SELECT file FROM outputs
-               WHERE format IN ('A', 'R') GROUP BY file HAVING count(DISTINCT format) = 2)""",
-        "recordings",
-        "outputs",
-    ),
-)
-def stream_pending(t: Tables) -> DataFrame:
-    """Orders arriving as recordings, less those whose outputs exist, per batch."""
-    folder = t.scratch()
-    name = F.concat(F.lit("ord_"), F.col("o_orderkey").cast("string"), F.lit(".wav"))
-
-    def handle(batch: DataFrame, epoch: int) -> None:
-        todo = pending_recordings(batch, t.outputs(), ["A", "R"])
-        todo.write.mode("overwrite").parquet(f"{folder}/out/{epoch}")
-
-    query = (
-        t.stream("orders")
-        .select(name.alias("file"))
-        .writeStream.foreachBatch(handle)
-        .option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return t.spark.read.schema("file string").parquet(f"{folder}/out/*")
-
-
 _FLAT = "start_s, end_s, scientific_name, common_name, confidence, file"
 
 

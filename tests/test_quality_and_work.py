@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from dawnchorus import scale
+from dawnchorus.functions.paths import output_path
 from dawnchorus.operators import combine, ordering, quality, regions, summaries, work
 
 NAN, INF = float("nan"), float("inf")
@@ -48,6 +49,20 @@ def test_pending(spark):
     assert work.pending_recordings(inventory, outputs, ["csv"], force=True).count() == 3
 
 
+def test_outputs_of_listed_files(spark):
+    inventory = spark.createDataFrame([("d/a.wav",), ("d/b.flac",), (None,)], "file string")
+    path = output_path(F.col("file"), F.lit("csv"))
+    listing = inventory.filter("file = 'd/a.wav'").select(path.alias("path")).union(spark.createDataFrame([("d/c.txt",), (None,)], "path string"))
+    done = work.outputs_of(listing.union(listing), inventory, ["csv", "json"])
+    assert rows_of(done) == [("d/a.wav", "csv")]
+    assert work.pending_recordings(inventory, done, ["csv"]).count() == 2
+    assert work.pending_recordings(inventory, done, ["csv", "json"]).count() == 3
+    assert work.outputs_of(listing, inventory, []).count() == 0
+    with pytest.raises(ValueError):
+        work.outputs_of(listing, inventory, ["nothing"])
+
+
+
 def test_audio_resolution(spark):
     files = ["/d/a.wav", "/d/b.flac", "/d/b.mp3", "/d/c.m4a", "/x/e.wav", "/d/f.flac"]
     inventory = spark.createDataFrame([(f,) for f in files], "file string")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from dawnchorus import schemas
+from dawnchorus.operators import summaries
 from dawnchorus.plans.clips import clean_detections
 from dawnchorus.sinks import documents, tables
 from dawnchorus.sources import events, inventory, lists, results
@@ -46,6 +47,26 @@ def test_csv_header_only_and_missing_column(spark, tmp_path, headers):
         results.read_detections_csv(spark, csv(tmp_path, "Start (s),End (s)\n1,2\n"), headers=headers).collect()
 
 
+def test_csv_broken_files_stand_alone(spark, tmp_path):
+    csv(tmp_path, f'{HEADER}\n0,3,a,"A\nA",0.5\n\n3,x,a,A,0.5\n6,9,a\n', "good.csv")
+    csv(tmp_path, "Start (s),End (s)\n1,2\n", "lacking.csv")
+    folder = csv(tmp_path, "", "empty.csv")
+    (tmp_path / "in" / "bytes.csv").write_bytes(HEADER.encode() + b"\n0,3,\xff,A,0.5\n")
+    got = results.read_detections_csv(spark, folder, on_bad="flag", headers="mixed")
+    rows = {(r["file"].rsplit("/", 1)[1], r["line"], r["malformed"], r["error"] is None) for r in got.collect()}
+    assert rows == {
+        ("good.csv", 2, False, True), ("good.csv", 5, True, True), ("good.csv", 6, True, False),
+        ("lacking.csv", None, True, False), ("bytes.csv", None, True, False),
+    }
+    report = summaries.rejected_report(got.filter("malformed"))
+    found = {r["file"].rsplit("/", 1)[1]: (r["skipped"], r["sample_lines"]) for r in report.collect()}
+    assert found == {"good.csv": (2, [5, 6]), "lacking.csv": (1, []), "bytes.csv": (1, [])}
+    with pytest.raises(Exception, match="good.csv: line 6: 3 fields|bytes.csv|missing required"):
+        results.read_detections_csv(spark, folder, headers="mixed").collect()
+    with pytest.raises(ValueError):
+        results.read_detections_csv(spark, folder, on_bad="other", headers="mixed")
+
+
 def test_csv_line_ends_in_fields_and_odd_paths(spark, tmp_path):
     folder = tmp_path / "my data+x"
     folder.mkdir()
