@@ -325,6 +325,11 @@ def test_languages_by_family(spark):
     got = {r["class_index"]: (r["language"], r["score"]) for r in identify_language(odd, model).collect()}
     assert got[1] == got[2] == got[3] == (UNDETERMINED, 0.0)
     assert got[None][0] == "de" and got[4][0] in stock and 0 <= got[4][1] <= 1
+    wide = odd.selectExpr("class_index", "'old' AS language", "label", "class_index AS extra")
+    kept = identify_language(wide, model, keep=True)
+    assert kept.columns == ["class_index", "label", "extra", "language", "score"]
+    assert {r["class_index"]: (r["language"], r["score"]) for r in kept.collect()} == got
+    assert all(r["extra"] == r["class_index"] for r in kept.collect())
     nothing = train_languages(table.limit(0))
     assert {r["language"] for r in identify_language(odd, nothing).collect()} == {UNDETERMINED}
     single = train_languages(table.where("language = 'fi'"))
