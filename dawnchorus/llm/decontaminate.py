@@ -6,13 +6,14 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.shared import mapped
+from dawnchorus.llm.shared import durable, mapped
 
 K1, B = 1.2, 0.75
 # Share of an item's own score that a passage must reach.
@@ -44,25 +45,41 @@ def contained(part: list[str], whole: list[str]) -> float:
     return len(asked & has) / len(asked)
 
 
+class Statistics(NamedTuple):
+    """What BM25 knows of all items that have words; ``frequency`` is asked for an index's own terms only."""
+
+    items: int
+    mean: float
+    longest: int
+    frequency: dict[str, int]
+
+
 class ItemIndex:
-    """Inverted index of test items whose impacts are shares of the item's own BM25 score."""
+    """Inverted index of test items whose impacts are shares of the item's own BM25 score.
+
+    ``whole`` describes all items where the index holds a part of them.
+    """
 
-    def __init__(self, items: list[tuple[object, str | None, str | None]]):
+    def __init__(self, items: list[tuple[object, str | None, str | None]], whole: Statistics | None = None):
         kept = [(i, words_of(q), words_of(a)) for i, q, a in items]
         self.items = [x for x in kept if x[1] or x[2]]
         bags = [Counter(q + a) for _, q, a in self.items]
         lengths = [sum(b.values()) for b in bags]
-        self.longest = max(lengths, default=1)
-        mean = sum(lengths) / max(1, len(lengths))
-        frequency = Counter(t for b in bags for t in b)
+        whole = whole or Statistics(
+            len(bags),
+            sum(lengths) / max(1, len(lengths)),
+            max(lengths, default=1),
+            Counter(t for b in bags for t in b),
+        )
+        self.longest, mean, frequency = whole.longest, whole.mean, whole.frequency
         postings: dict[str, list[tuple[int, float]]] = {}
-        self.terms = {t: k for k, t in enumerate(sorted(frequency))}
+        self.terms = {t: k for k, t in enumerate(sorted({t for b in bags for t in b}))}
         spare = np.zeros(len(bags))
         look: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for number, (bag, length) in enumerate(zip(bags, lengths, strict=True)):
             score = {}
             for t, tf in bag.items():
-                idf = np.log(1 + (len(bags) - frequency[t] + 0.5) / (frequency[t] + 0.5))
+                idf = np.log(1 + (whole.items - frequency[t] + 0.5) / (frequency[t] + 0.5))
                 score[t] = float(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)))
             own = sum(score.values())
             for t in sorted(score, key=lambda t: (-frequency[t], t)):
@@ -183,13 +200,48 @@ class ItemIndex:
         return [[(self.items[n][0], *m) for n, m in sorted(found.items())] for found in out]
 
 
+def _bags(items: DataFrame, parts: int) -> DataFrame:
+    """(part, length, terms) of every item with words; ``terms`` are distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            question, answer = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            words = [words_of(q) + words_of(a) for q, a in zip(question, answer, strict=True)]
+            columns = [
+                batch.column(0),
+                pa.array([len(w) for w in words], pa.int64()),
+                pa.array([sorted(set(w)) for w in words], pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "length", "terms"])
+
+    numbered = items.select(_part(parts).alias("part"), "question", "answer")
+    return mapped(numbered, run, "part long, length long, terms array<string>").where("length > 0")
+
+
+def _part(parts: int):
+    return F.pmod(F.xxhash64("item", "question", "answer"), F.lit(parts))
+
+
 def _indexes(items: DataFrame, per_index: int) -> Iterator[ItemIndex]:
-    """Indexes of bounded size over all items, in hash order."""
+    """Indexes of bounded size over all items, in hash order; all score by the statistics of all items."""
     rows = items.count()
     parts = max(1, -(-rows // per_index))
+    if parts == 1:
+        yield ItemIndex(_collected(items))
+        return
+    bags = durable(_bags(items, parts))
+    # Where no item has words, there is nothing to score.
+    number, mean, longest = bags.agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(0.0)), F.max("length")).first()
+    terms = bags.select("part", F.explode("terms").alias("term"))
+    frequency = durable(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     for part in range(parts):
-        block = items.where(F.pmod(F.xxhash64("item", "question", "answer"), F.lit(parts)) == part)
-        yield ItemIndex(sorted(map(tuple, block.collect()), key=lambda r: (r[0] is None, r)))
+        own = frequency.join(terms.where(F.col("part") == part), "term", "left_semi")
+        whole = Statistics(number, mean, longest or 1, {r["term"]: r["n"] for r in own.collect()})
+        yield ItemIndex(_collected(items.where(_part(parts) == part)), whole)
+
+
+def _collected(items: DataFrame) -> list[tuple]:
+    return sorted(map(tuple, items.collect()), key=lambda r: (r[0] is None, r))
 
 
 def find_test_items(
@@ -216,7 +268,7 @@ def find_test_items(
     found; further columns pass through, and one called ``test_items`` is replaced.
 
     Texts are not shuffled. An index goes to all tasks and holds at most about ``per_index`` items; for more
-    items, the texts pass through one index after another.
+    items, the texts pass through one index after another, and all score by the statistics of all items.
     """
     spark = texts.sparkSession
     items = items.select(
