@@ -35,40 +35,57 @@ FURNITURE = frozenset(
     "replies respond discussion share sharing social related recommended recommendations widget "
     "toolbar pagination pager contentinfo hidden skip toc copyright legal disclaimer".split()
 )
-# Furniture words that a page's heading element or article may carry all the same.
+# What readers write is as dense as the article, so only its name can tell.
+READERS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+# What text inside an article or main element counts against a block with a furniture name.
+MARKED = 4
 SIGMA = 1.5
 
 
-def _furnished(attributes: list[tuple[str, str | None]]) -> bool:
+def _furnished(attributes: list[tuple[str, str | None]], names: frozenset[str] = FURNITURE) -> bool:
     for name, value in attributes:
-        if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
-            return True
         if name in ("class", "id", "role") and value:
             words = value.lower().replace("_", " ").replace("-", " ").split()
-            if any(w in FURNITURE for w in words):
+            if any(w in names for w in words):
                 return True
+    return False
+
+
+def _hidden(attributes: list[tuple[str, str | None]]) -> bool:
+    for name, value in attributes:
+        if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
+            return True
         if name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
     return False
 
 
 class _Lines(HTMLParser):
-    """Parser events as lines: each block's text with its tags, and the container it stands in."""
+    """Parser events as lines: each block's text with its tags, and the container it stands in.
+
+    Elements with a name of page furniture are numbered in order; all but the ``pardoned`` are left out.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, pardoned: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.homes: list[int] = []
         self.parents: list[int] = [-1]
         self.names: list[str] = [""]
-        self.stack: list[tuple[str, int, bool]] = []
+        self.stack: list[tuple[str, int, bool, int]] = []
+        self.pardoned = pardoned
+        self.named = 0
+        # Of the furniture: characters of each outermost left-out element, lines of each pardoned one.
+        self.lost: dict[int, int] = {}
+        self.losing = -1
+        self.spans: dict[int, tuple[int, int]] = {}
         self.skipping = 0
         self.held: list[str] = []
         self.count = 0
 
     def home(self) -> int:
-        return next((h for _, h, _ in reversed(self.stack) if h >= 0), 0)
+        return next((h for _, h, _, _ in reversed(self.stack) if h >= 0), 0)
 
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
@@ -80,7 +97,7 @@ class _Lines(HTMLParser):
         self.count = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ENDS_PARAGRAPH and any(t == "p" for t, _, _ in self.stack):
+        if tag in ENDS_PARAGRAPH and any(t == "p" for t, _, _, _ in self.stack):
             self._close("p")
         if tag in BLOCKS and not self.skipping:
             self.flush()
@@ -89,15 +106,25 @@ class _Lines(HTMLParser):
         if tag in VOID:
             self.count += 1
             return
-        skip = tag in SKIPPED or (tag not in ("html", "body", "article", "main") and _furnished(attrs))
-        if skip and not self.skipping:
+        own = tag not in ("html", "body", "article", "main")
+        number = -1
+        if own and _furnished(attrs):
+            number = self.named
+            self.named += 1
+        skip = tag in SKIPPED or (own and _hidden(attrs)) or (number >= 0 and number not in self.pardoned)
+        if (skip or number >= 0) and not self.skipping:
             self.flush()
+            if not skip:
+                self.spans[number] = (len(self.texts), len(self.texts))
+            elif tag not in SKIPPED and not _hidden(attrs) and not _furnished(attrs, READERS):
+                self.losing = number
+                self.lost[number] = 0
         home = -1
         if tag in HOMES and not skip:
             home = len(self.parents)
             self.parents.append(self.home())
             self.names.append("article" if ("itemprop", "articleBody") in attrs else tag)
-        self.stack.append((tag, home, skip))
+        self.stack.append((tag, home, skip, number))
         self.skipping += skip
         self.count += 1
 
@@ -122,16 +149,23 @@ class _Lines(HTMLParser):
                     return
         else:
             return
-        if tag in BLOCKS and not self.skipping:
+        pardoned = [n for _, _, _, n in self.stack[at:] if n in self.spans]
+        if (tag in BLOCKS or pardoned) and not self.skipping:
             self.flush()
-        for _, _, skip in self.stack[at:]:
+        for number in pardoned:
+            self.spans[number] = (self.spans[number][0], len(self.texts))
+        for _, _, skip, _ in self.stack[at:]:
             self.skipping -= skip
+        if not self.skipping:
+            self.losing = -1
         del self.stack[at:]
         self.count += 1
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
             self.held.append(data)
+        elif self.losing >= 0:
+            self.lost[self.losing] += len(data.strip())
 
     def unknown_decl(self, data: str) -> None:
         """Marked sections are markup."""
@@ -164,37 +198,45 @@ def _two_means(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _weights(page: _Lines, sigma: float) -> np.ndarray:
+    """Characters of the lines whose smoothed ratio is in the high cluster, 0 for others."""
+    lengths = np.array([len(t) for t in page.texts], dtype=float)
+    ratios = lengths / np.maximum(1, np.array(page.tags))
+    smooth = _smoothed(ratios, sigma)
+    over = smooth > _two_means(smooth)
+    # Clusters whose means are within a factor of two are one: all lines are text, or none.
+    if not over.any() or over.all() or 2 * smooth[~over].mean() > smooth[over].mean():
+        return lengths
+    return np.where(over, lengths, 0.0)
+
+
 def content_lines(page: _Lines, sigma: float = SIGMA) -> list[int]:
     """Lines of the content region.
 
     A line's ratio is its characters over its tags. Ratios are smoothed, and two clusters of
     them set the threshold. The lines above it weigh for the containers around them; the region is the
-    smallest container with at least half of all that weight, where one marked as an article
-    goes before. All its lines belong, short ones too.
+    smallest container with over half of all that weight. Elements marked as articles, or else as main, go
+    before where they hold over half of it together. All lines of the region belong, short ones too.
     """
     if not page.texts:
         return []
-    lengths = np.array([len(t) for t in page.texts], dtype=float)
-    ratios = lengths / np.maximum(1, np.array(page.tags))
-    smooth = _smoothed(ratios, sigma)
-    cut = _two_means(smooth)
-    weight = np.where(smooth > cut, lengths, 0.0)
-    if not weight.any():
-        weight = lengths
+    weight = _weights(page, sigma)
     mass = np.zeros(len(page.parents))
     for home, w in zip(page.homes, weight, strict=True):
         at = home
         while at >= 0:
             mass[at] += w
             at = page.parents[at]
-    marked = [i for i, n in enumerate(page.names) if n in ("article", "main") and mass[i] > 0]
-    inside = [i for i in marked if page.names[i] == "article"] or marked
-    if inside:
-        # Articles that follow one another on a page are all kept; the largest sets the measure.
-        most = max(mass[i] for i in inside)
-        chosen = {i for i in inside if mass[i] >= most / 2}
-    else:
-        half = mass[0] / 2
+    half = mass[0] / 2
+    chosen: set[int] = set()
+    for name in ("article", "main"):
+        marked = {i for i, n in enumerate(page.names) if n == name and mass[i] > 0}
+        # Of marked elements inside one another the outermost holds all.
+        outer = {i for i in marked if not _inside(page, page.parents[i], marked)}
+        if sum(mass[i] for i in outer) > half:
+            chosen = outer
+            break
+    if not chosen:
         at = 0
         while True:
             below = [i for i, p in enumerate(page.parents) if p == at and mass[i] > half]
@@ -202,23 +244,50 @@ def content_lines(page: _Lines, sigma: float = SIGMA) -> list[int]:
                 break
             at = below[0]
         chosen = {at}
+    return [i for i, home in enumerate(page.homes) if _inside(page, home, chosen)]
 
-    def within(home: int) -> bool:
-        while home >= 0:
-            if home in chosen:
-                return True
-            home = page.parents[home]
-        return False
 
-    return [i for i, home in enumerate(page.homes) if within(home)]
+def _inside(page: _Lines, home: int, chosen: set[int]) -> bool:
+    while home >= 0:
+        if home in chosen:
+            return True
+        home = page.parents[home]
+    return False
 
 
-def extract(html: str | None) -> str:
-    """Main text of one page: its content blocks, one per line."""
-    page = _Lines()
-    page.feed(html or "")
+def _parsed(html: str, pardoned: frozenset[int]) -> _Lines:
+    page = _Lines(pardoned)
+    page.feed(html)
     page.close()
+    for tag, *_ in page.stack[:1]:
+        page._close(tag)
     page.flush()
+    return page
+
+
+def lines_of(html: str, sigma: float = SIGMA) -> _Lines:
+    """The page without its furniture; a block named so that holds most of all text and of the dense text is none."""
+    page = _parsed(html, frozenset())
+    while any(page.lost.values()):
+        block = max(page.lost, key=page.lost.get)
+        marked = {i for i, n in enumerate(page.names) if n in ("article", "main")}
+        lines = zip(page.texts, page.homes, strict=True)
+        if page.lost[block] <= sum(len(t) * (MARKED if _inside(page, h, marked) else 1) for t, h in lines):
+            break
+        whole = _parsed(html, page.pardoned | {block})
+        start, end = whole.spans[block]
+        if start == end:
+            break
+        weight = _weights(whole, sigma)
+        if weight[start:end].sum() * 2 <= weight.sum():
+            break
+        page = whole
+    return page
+
+
+def extract(html: str | None) -> str:
+    """Main text of one page: its content blocks, one per line."""
+    page = lines_of(html or "")
     return "\n".join(page.texts[i] for i in content_lines(page))
 
 
@@ -229,7 +298,8 @@ def page_texts(
 
     General: the project reads no web pages. Menus, headers, footers, sidebars, notices, adverts,
     forms, reader comments, scripts, styles and markup are left out by element and by the names a page
-    gives its parts; what remains is judged by text density (see ``content_lines``). White space within a block
+    gives its parts, unless a part with such a name, other than reader comments, holds most of the text; what remains is judged by text
+    density (see ``content_lines``). White space within a block
     is one space, a line break in a block too; blocks are joined by line ends.
 
     A null or empty page gives an empty text; keys and addresses may be null or repeated; further
