@@ -183,7 +183,10 @@ def throttle_progress(t: Tables) -> DataFrame:
         F.least(F.col("value") / 5, F.lit(99.0)).cast("float").alias("percent"),
         F.col("ts").cast("timestamp").alias("timestamp"),
     )
-    shown = live_events.throttle_progress(updates)
+    # The files of a table may overlap in time, so nothing is late within the table's own span.
+    span = t.raw("events").select(F.col("ts").cast("timestamp").cast("double").alias("s")).agg(F.max("s") - F.min("s"))
+    seconds = int(span.first()[0] or 0) + 3600
+    shown = live_events.throttle_progress(updates, watermark=f"{seconds} seconds")
     return drained(t, shown.select("file", "percent", F.unix_millis("timestamp").alias("at_ms")))
 
 
