@@ -15,6 +15,7 @@ from dawnchorus.llm.line_dedup import remove_repeated_lines
 from dawnchorus.llm.main_text import page_texts
 from dawnchorus.llm.merkle import result_fingerprints
 from dawnchorus.llm.piece_codec import piece_round_trip
+from dawnchorus.llm.repeats import repeated_phrases
 from dawnchorus.llm.revisits import RESPONSE, REVISIT, resolve_revisits
 from dawnchorus.llm.simhash import near_duplicate_classes
 from dawnchorus.llm.token_counts import result_token_counts
@@ -187,6 +188,47 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
     return coded.withColumnRenamed("file", "doc_id")
 
 
+def label_lists(documents: DataFrame) -> DataFrame:
+    """Documents as label tracks: their words in order; every tenth ends in a repetition, chosen by its key's checksum."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    check = F.crc32(F.col("doc_id").cast("string"))
+    counted = documents.select("doc_id", words.alias("w"), check.alias("h"), F.floor(check / 10).alias("g"))
+    at = counted.select("*", (F.col("g") % F.nullif(F.size("w"), F.lit(0))).alias("a"))
+    period = 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8))
+    made = at.select("*", period.alias("p"))
+    numbers = F.expr("sequence(0, size(w) - 1)")
+    a, p = F.col("a"), F.col("p")
+    tail = F.transform(numbers, lambda i: F.get("w", F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")))
+    repeated = (F.col("h") % 10 == 0) & (F.size("w") > 0)
+    return made.select(F.col("doc_id").alias("file"), F.when(repeated, tail).otherwise(F.col("w")).alias("labels"))
+
+
+def repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeated_phrases(label_lists(_table(spark, folder, "documents").select("doc_id", "text")))
+    # Of equal length over period the first stays; runs are ordered by start, then period.
+    best = F.expr(
+        "aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), "
+        "(m, r) -> if(m is null or r.length * m.period > m.length * r.period, r, m))"
+    )
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        F.col("file").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        best.alias("best"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.array_join("collapsed", " "), 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -204,6 +246,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": languages,
     "op9_token_counts": token_counts,
     "op10_pieces": pieces,
+    "op11_repeats": repeats,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = {"op3_revisits": REVISITS_SQL}
