@@ -19,6 +19,7 @@ from dawnchorus.llm.repeats import repeated_phrases
 from dawnchorus.llm.revisits import RESPONSE, REVISIT, resolve_revisits
 from dawnchorus.llm.simhash import near_duplicate_classes
 from dawnchorus.llm.token_counts import result_token_counts
+from dawnchorus.llm.trie import call_trie, ends_digest, in_order
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -229,6 +230,85 @@ def repeats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _shared_first(key: str = "conv_id"):
+    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(6))
+
+
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations as recordings that begin alike: (calls, recordings).
+
+    Each takes its first turns, as many as its key's checksum says, from the conversation whose key is the next lower multiple of 100.
+    """
+    empty = F.lit("")
+    turns = conversations.where("conv_id IS NOT NULL").select(
+        "conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")
+    )
+    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    placed = in_order(turns, "conv_id", order, "place").drop("_part", "turn")
+    every = placed.where("place = 1").select("conv_id")
+    wants = every.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 100).alias("from"), _shared_first().alias("h"))
+    first = placed.where("place <= 5 AND conv_id % 100 = 0").withColumnRenamed("conv_id", "from")
+    taken = wants.join(first, "from").where("place <= h").select("conv_id", "place", "role", "text")
+    own = placed.where(F.col("place") > _shared_first()).select("conv_id", "place", "role", "text")
+    return taken.unionByName(own), every
+
+
+def trie(spark: SparkSession, folder: str) -> DataFrame:
+    calls, recordings = rebuilt(_table(spark, folder, "conversations"))
+    found = call_trie(calls, recordings, "conv_id", at="place", name="role", label="text")
+    digests = ends_digest(found.ends)
+    return found.nodes.join(digests, "node", "left").select(
+        F.col("file").alias("conv_id"),
+        "depth",
+        F.col("parent_file").alias("parent_conv_id"),
+        F.col("n_recordings").alias("n_convs"),
+        "n_children",
+        "n_leaves",
+        F.col("saved_chars").alias("saved_tokens"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
+TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 100 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT c FROM turns)
+), joined AS (
+  SELECT v.c, t.d, t.r, t.t FROM convs v JOIN turns t ON t.c = v.base AND t.d <= v.h
+  UNION ALL SELECT v.c, t.d, t.r, t.t FROM convs v JOIN turns t ON t.c = v.c AND t.d > v.h
+), paths AS (
+  SELECT v.c, coalesce(list({'r': j.r, 't': j.t} ORDER BY j.d) FILTER (WHERE j.d IS NOT NULL), []) AS p
+  FROM convs v LEFT JOIN joined j ON j.c = v.c GROUP BY v.c
+), members AS (
+  SELECT c, n AS depth, list_slice(p, 1, n) AS k, n = len(p) AS is_end FROM paths, unnest(range(len(p) + 1)) u(n)
+), nodes AS (
+  SELECT depth, k, min(c) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE is_end), '') AS ends
+  FROM members GROUP BY depth, k
+), children AS (
+  SELECT depth - 1 AS depth, list_slice(k, 1, depth - 1) AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), own AS (
+  SELECT n.*, coalesce(ch.n, 0) AS n_children,
+    CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * length(n.k[n.depth].t) END AS saved
+  FROM nodes n LEFT JOIN children ch ON ch.depth = n.depth AND ch.k = n.k
+), sums AS (
+  SELECT e AS depth, list_slice(k, 1, e) AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved
+  FROM own, unnest(range(depth + 1)) u(e) GROUP BY 1, 2
+)
+SELECT o.conv_id, o.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(o.ends) AS ends_sha256
+FROM own o JOIN sums s ON s.depth = o.depth AND s.k = o.k
+LEFT JOIN nodes p ON p.depth = o.depth - 1 AND p.k = list_slice(o.k, 1, o.depth - 1)
+"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -247,6 +327,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": token_counts,
     "op10_pieces": pieces,
     "op11_repeats": repeats,
+    "op12_trie": trie,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {"op3_revisits": REVISITS_SQL}
+SQL: dict[str, str] = {"op3_revisits": REVISITS_SQL, "op12_trie": TRIE_SQL}
