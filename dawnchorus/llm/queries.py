@@ -14,6 +14,7 @@ from dawnchorus.llm.language import identify_language, train_languages
 from dawnchorus.llm.line_dedup import remove_repeated_lines
 from dawnchorus.llm.main_text import page_texts
 from dawnchorus.llm.merkle import result_fingerprints
+from dawnchorus.llm.nearest import similar_segments
 from dawnchorus.llm.piece_codec import piece_round_trip
 from dawnchorus.llm.repeats import repeated_phrases
 from dawnchorus.llm.revisits import RESPONSE, REVISIT, resolve_revisits
@@ -309,6 +310,27 @@ LEFT JOIN nodes p ON p.depth = o.depth - 1 AND p.k = list_slice(o.k, 1, o.depth
 """
 
 
+def nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = similar_segments(vectors, vectors.where("vec_id % 100 = 0"), keys=["vec_id"])
+    return found.select(F.col("query_vec_id").alias("query_id"), "rank", "vec_id", "score")
+
+
+NEAREST_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -328,6 +350,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pieces": pieces,
     "op11_repeats": repeats,
     "op12_trie": trie,
+    "op13_nearest": nearest,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {"op3_revisits": REVISITS_SQL, "op12_trie": TRIE_SQL}
+SQL: dict[str, str] = {"op3_revisits": REVISITS_SQL, "op12_trie": TRIE_SQL, "op13_nearest": NEAREST_SQL}
