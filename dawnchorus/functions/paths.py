@@ -78,9 +78,14 @@ def output_suffix(fmt: Column) -> Column:
 
 def output_path(file: Column, fmt: Column, folder: Column | None = None) -> Column:
     """Result path of a recording in one format, next to it unless a folder is given."""
+    return suffixed_path(file, output_suffix(fmt), folder)
+
+
+def suffixed_path(file: Column, suffix: Column, folder: Column | None = None) -> Column:
+    """Path of a file made from a recording: its stem with a suffix, next to it unless a folder is given."""
     safe = F.translate(stem(file), "/\\", "__")
     target = parent_path(file) if folder is None else F.coalesce(folder, parent_path(file))
-    return join_path(target, F.concat(safe, output_suffix(fmt)))
+    return join_path(target, F.concat(safe, suffix))
 
 
 # fixed values: characters replaced in clip names

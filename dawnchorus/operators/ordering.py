@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.scale import number_rows, time_block
-
-HOUR_S = 3600.0
+from dawnchorus.scale import number_rows
 
 
 def _order():
@@ -28,5 +26,4 @@ def detection_order(det: DataFrame) -> DataFrame:
 
 def selection_number(det: DataFrame, name: str = "selection") -> DataFrame:
     """1-based number of each detection inside its recording's table."""
-    block = time_block(F.col("start_s"), HOUR_S)
-    return number_rows(det, ["file"], block, _order(), name)
+    return number_rows(det, ["file"], _order(), name)

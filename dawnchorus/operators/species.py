@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dawnchorus import constants as K
 from dawnchorus.functions.labels import species_key
 from dawnchorus.functions.numbers import at_least
-from dawnchorus.scale import broadcast_if_bounded, number_rows, unfolded
+from dawnchorus.scale import broadcast_if_bounded, unfolded
 
 _SEGMENT = ["file", "seg_idx"]
 
@@ -29,8 +29,9 @@ def top_k(pred: DataFrame, k: int = K.DEFAULT_TOP_K) -> DataFrame:
 def rerank_order(pred: DataFrame, name: str = "position") -> DataFrame:
     """Position of each prediction inside its segment, most confident first."""
     order = [F.col("confidence").desc(), F.col("class_index"), F.col("label")]
-    block = F.floor((F.lit(1.0) - F.col("confidence").cast("double")) * 16)
-    return number_rows(pred, _SEGMENT, block, order, name)
+    # A segment has at most as many predictions as there are classes.
+    place = F.row_number().over(Window.partitionBy(*_SEGMENT).orderBy(*order))
+    return pred.withColumn(name, place.cast("long"))
 
 
 def filter_species_list(pred: DataFrame, species: DataFrame) -> DataFrame:

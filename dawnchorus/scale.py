@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dawnchorus.session import checkpoint_root
+
+# Helpers of this module travel with the tasks, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A side is broadcast only after its rows and bytes were measured below these.
 BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_BYTES = 64 << 20
-# Copies of one row that are unfolded by one task.
-COPIES_PER_ROW = 100_000
 # Measuring is skipped for sides estimated at more than this many times the byte bound.
 MEASURE_FACTOR = 256
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_root(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def _width(name: str, kind: T.DataType) -> Column:
     """Approximate bytes of a value, without turning it into text where that can be avoided."""
     column = F.col(f"`{name}`")
@@ -113,93 +129,118 @@ def time_block(seconds: Column, width: float) -> Column:
     return F.floor(seconds / F.lit(float(width)))
 
 
-def named_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Absent text keys become empty text, so that plain equi-joins on them lose no row.
+def sorted_ranges(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """Rows in sorted ranges of the keys, equal ones spread as well; adds ``_row``, a number of each row, and ``_range``.
 
-    A null-safe join would compare expressions instead of columns and shuffle both sides again.
+    With a number of partitions of its own the shuffle is read as it was written, so all readers of one plan
+    see the same ranges.
     """
-    texts = [name for name, kind in df.dtypes if name in keys and kind == "string"]
-    return df.na.fill("", subset=texts) if texts else df
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = [*keys, F.col("_row")]
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    spread = numbered.repartitionByRange(ranges, *placed)
+    # As a column: a task's own number is another one where its stage has further inputs.
+    return spread.withColumn("_range", F.spark_partition_id().cast("long")).sortWithinPartitions(*placed)
 
 
-def number_rows(
-    df: DataFrame,
-    group: Sequence[str],
-    block: Column,
-    order: Sequence[Column],
-    name: str,
-) -> DataFrame:
+def same_range(value: Column) -> Column:
+    """The value, after a check that both readers of the ranges saw the same first row (``_expected``, ``_first``)."""
+    same = F.col("_expected").eqNullSafe(F.col("_first"))
+    return F.when(same, value).otherwise(F.raise_error(F.lit("row ranges changed while they were read")).cast("long"))
+
+
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """1-based row number inside ``group``, without putting a whole group into one task.
 
-    ``block`` must not decrease along ``order`` (for times: the hour of the start). Rows are
-    numbered inside (group, block); the rows of earlier blocks are added from per-block counts.
-    Identical rows are folded into one counted row before the shuffle and unfolded at the end,
-    so neither a long recording nor a pile of copies reaches a single sort. Columns not in
-    ``order`` break its ties, so a repeated task numbers its rows as before.
+    Rows are shuffled once, into sorted ranges of (group, order), so a group or a pile of equal rows
+    that holds a large share of all rows spreads over several tasks. Each task numbers the rows of its range from its
+    first row of the group on; the first group of a range goes on from the ranges before it, and what those hold of
+    it is one small row per range. Columns not in ``order`` break its ties, so a repeated task numbers its rows as
+    before. A null key is a group of its own, apart from empty text.
     """
-    columns = df.columns
-    first_block = F.lit(-(1 << 62))
-    folded = (
-        named_keys(df, group)
-        .withColumn("_block", F.coalesce(block.cast("bigint"), first_block))
-        .groupBy(*columns, "_block")
-        .agg(F.count(F.lit(1)).alias("_copies"))
-    )
-    per_block = _per_block(folded, group)
-    before, pile = F.col("_before"), F.col("_pile")
-    # Both tables name both columns, so that they share the work behind them.
-    offsets = per_block.filter(before.isNotNull() & (pile > 0)).drop("_pile")
-    piled_blocks = per_block.filter((pile > COPIES_PER_ROW) & (F.coalesce(before, F.lit(0)) >= 0))
-    ties = [F.col(f"`{c}`") for c in columns]
-    inside = Window.partitionBy(*group, "_block").orderBy(*order, *ties)
-    upto = F.sum("_copies").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    key = [*group, "_block"]
-
-    def numbered(rows: DataFrame) -> DataFrame:
-        # Where all groups have one block, the right side is empty and AQE drops the join.
-        placed = rows.withColumn("_upto", upto).join(offsets, key, "left")
-        last = F.coalesce("_before", F.lit(0)) + F.col("_upto")
-        return placed.withColumn("_first", last - F.col("_copies") + 1)
-
-    piled = F.col("_copies") > COPIES_PER_ROW
-    few = numbered(folded).filter(~piled)
-    # Large piles are unfolded by many tasks. Without any, this branch is empty after the
-    # shuffle it shares with the other, and AQE drops it.
-    many = _split_piles(
-        numbered(folded.join(piled_blocks.select(*key), key, "left_semi")).filter(piled)
-    )
-    unfolded = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1))
-    wanted = [*columns, "_first", "_copies"]
-    return (
-        few.select(*wanted)
-        .unionByName(many.select(*wanted))
-        .withColumn(name, unfolded)
-        .select(*columns, name)
-    )
-
-
-def _per_block(folded: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Rows in the earlier blocks of the group (null for its first), and the largest pile."""
-    earlier = (
-        Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        folded.groupBy(*group, "_block")
-        .agg(F.sum("_copies").alias("_rows"), F.max("_copies").alias("_pile"))
-        .withColumn("_before", F.sum("_rows").over(earlier))
-        .select(*group, "_block", "_before", "_pile")
-    )
-
-
-def _split_piles(piles: DataFrame) -> DataFrame:
-    """Counted rows of many copies as several rows of at most COPIES_PER_ROW, spread out."""
-    per = F.lit(COPIES_PER_ROW)
-    spread = int(piles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    last_chunk = F.floor((F.col("_copies") - 1) / per)
-    start = F.col("_chunk") * per
-    return (
-        piles.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
-        .repartition(spread, "_first", "_chunk")
-        .withColumn("_first", F.col("_first") + start)
-        .withColumn("_copies", F.least(per, F.col("_copies") - start))
-    )
+    ties = [F.col(f"`{c}`") for c in df.columns if c not in group]
+    spread = sorted_ranges(df, [*[F.col(f"`{c}`") for c in group], *order, *ties])
+    width = df.schema
+    local = T.StructType([*width.fields, *[T.StructField(n, T.LongType()) for n in ("_n", "_range", "_first", "_head")]])
+    numbered = spread.mapInArrow(_numbering(len(width), list(group)), local)
+    edge = [T.StructField(f"_g{i}", width[g].dataType) for i, g in enumerate(group)]
+    kinds = [T.StructField(n, T.LongType()) for n in ("_range", "_first", "_head", "_rows")]
+    edges = spread.mapInArrow(_range_edges(list(group)), T.StructType([*edge, *kinds]))
+    along = Window.partitionBy(*[f.name for f in edge]).orderBy("_range", F.desc("_head"))
+    before = F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    # One row per range, however many rows there are.
+    carried = edges.withColumn("_before", F.coalesce(before, F.lit(0))).where("_head = 1")
+    carried = carried.select("_range", F.col("_first").alias("_expected"), "_before")
+    joined = numbered.join(F.broadcast(carried), "_range", "left")
+    number = F.col("_n") + F.when(F.col("_head") == 1, F.col("_before")).otherwise(F.lit(0))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], same_range(number).alias(name))
+
+
+def opens_group(table: pa.RecordBatch, group: Sequence[str], last: tuple | None) -> np.ndarray:
+    """Whether each row's group is another one than that of the row before; ``last`` is that before the batch."""
+    opens = np.zeros(table.num_rows, bool)
+    for name in group:
+        column = table.column(name)
+        # Nulls are equal to each other and to nothing else.
+        differ = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
+        null = column.is_null().to_numpy(zero_copy_only=False)
+        opens[1:] |= pc.fill_null(differ, False).to_numpy(zero_copy_only=False) | (null[1:] != null[:-1])
+    opens[0] = last is None or last != group_at(table, group, 0)
+    return opens
+
+
+def group_at(table: pa.RecordBatch, group: Sequence[str], row: int) -> tuple:
+    return tuple(table.column(name)[row].as_py() for name in group)
+
+
+def _numbering(width: int, group: list[str]):
+    """Adds to sorted rows their number in their group and range, the range, its first row, and if the group is its first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, held, head = None, None, 0, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            opens = opens_group(batch, group, last)
+            if first is None:
+                first, opens[0] = batch.column("_row")[0].as_py(), False
+            place = np.arange(n)
+            begin = np.maximum.accumulate(np.where(opens, place, -1))
+            number = np.where(begin >= 0, place - begin + 1, held + place + 1)
+            # Only rows before the first opening belong to the group that the range begins with.
+            heads = (begin < 0) & head
+            head = bool(heads[-1])
+            last, held = group_at(batch, group, n - 1), int(number[-1])
+            begins = pa.array(np.full(n, first), pa.int64())
+            made = [pa.array(number, pa.int64()), batch.column("_range"), begins, pa.array(heads.astype(np.int64))]
+            names = [*batch.schema.names[:width], "_n", "_range", "_first", "_head"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=names)
+
+    return run
+
+
+def _range_edges(group: list[str]):
+    """Two rows per range of sorted rows: its first group, and its last group with the rows it has there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        rows = 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            begin = np.flatnonzero(opens_group(batch, group, last))
+            rows = n - int(begin[-1]) if len(begin) else rows + n
+            keys = [batch.column(g) for g in group]
+            if first is None:
+                at, row = (batch.column(c)[0].as_py() for c in ("_range", "_row"))
+                first = [k.slice(0, 1) for k in keys]
+            last, ends = group_at(batch, group, n - 1), [k.slice(n - 1, 1) for k in keys]
+        if first is not None:
+            names = [*[f"_g{i}" for i in range(len(group))], "_range", "_first", "_head", "_rows"]
+            for columns, head, count in ((first, 1, 0), (ends, 0, rows)):
+                facts = [pa.array([v], pa.int64()) for v in (at, row, head, count)]
+                yield pa.RecordBatch.from_arrays([*columns, *facts], names=names)
+
+    return run

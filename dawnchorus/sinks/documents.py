@@ -13,7 +13,6 @@ from dawnchorus.constants import SPEC_VERSION
 from dawnchorus.functions.labels import species_label
 from dawnchorus.functions.paths import base_name
 from dawnchorus.operators.ordering import selection_number
-from dawnchorus.operators.summaries import recording_summary
 
 DETECTIONS_PER_PART = 50_000
 
@@ -21,15 +20,25 @@ DETECTIONS_PER_PART = 50_000
 def detection_parts(det: DataFrame, item: Column, per_part: int) -> DataFrame:
     """(file, _part, detections): ordered arrays of at most ``per_part`` detections."""
     part = F.floor((F.col("_n") - 1) / per_part).cast("int")
-    ordered = F.array_sort(F.collect_list(F.struct("_n", item.alias("item"))))
+    ordered = F.array_sort(F.collect_list(F.struct("_n", "item")))
     return (
         selection_number(det, "_n")
-        .withColumn("_part", part)
+        .select("file", "_n", part.alias("_part"), item.alias("item"))
         .groupBy("file", "_part")
         .agg(F.transform(ordered, lambda r: r["item"]).alias("detections"))
     )
 
 
+def _part_counts(parts: DataFrame) -> DataFrame:
+    """(file, total_detections, unique_species) from the parts: no more than their species are gathered per recording."""
+    species = F.array_distinct(F.transform("detections", lambda d: d["scientific_name"]))
+    counted = parts.select("file", F.size("detections").alias("n"), F.filter(species, lambda s: s.isNotNull()).alias("species"))
+    return counted.groupBy("file").agg(
+        F.sum("n").alias("total_detections"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("species")))).cast("long").alias("unique_species"),
+    )
+
+
 def to_result_documents(
     det: DataFrame,
     recordings: DataFrame,
@@ -54,9 +63,12 @@ def to_result_documents(
         (F.col(c) if c in recordings.columns else F.lit(None)).cast(kind).alias(c)
         for c, kind in (("lat", "double"), ("lon", "double"), ("week", "smallint"))
     ]
-    located = recordings.select("file", F.struct(*place).alias("_place"))
+    located = recordings.select("file", F.struct(*place).alias("_place"), F.col("duration_s").cast("float").alias("audio_duration_seconds"))
     parts = detection_parts(det, item, per_part)
-    summary = recording_summary(det, recordings).join(located, "file")
+    zero = F.lit(0).cast("long")
+    summary = located.join(_part_counts(parts), "file", "left").withColumns(
+        {c: F.coalesce(c, zero) for c in ("total_detections", "unique_species")}
+    )
     none = F.array().cast(parts.schema["detections"].dataType)
     quiet = summary.filter("total_detections = 0").withColumns(
         {"_part": F.lit(0), "detections": none}
@@ -117,12 +129,20 @@ def to_detection_events(
     flags: DataFrame | None = None,
     at: Column | None = None,
     per_part: int = DETECTIONS_PER_PART,
+    recordings: DataFrame | None = None,
 ) -> DataFrame:
     """``detections`` events (file, part, value), value being the envelope's JSON text.
 
-    ``flags`` (from postprocess_flags) adds provenance for calibrated models.
+    ``flags`` (from postprocess_flags) adds provenance for calibrated models. ``recordings`` (column file) lists those that
+    get an event without detections if they have none; otherwise only recordings with detections have events.
     """
     parts = detection_parts(det, _detection_info(), per_part)
+    if recordings is not None:
+        none = F.array().cast(parts.schema["detections"].dataType)
+        # Only the first part is asked for, so a recording of many parts is one row here.
+        loud = parts.where("_part = 0").select("file")
+        silent = recordings.select("file").distinct().join(loud, "file", "left_anti")
+        parts = parts.unionByName(silent.select("file", F.lit(0).alias("_part"), none.alias("detections")))
     fields = [F.col("file"), F.col("detections")]
     if flags is not None:
         provenance = F.struct(

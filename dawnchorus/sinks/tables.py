@@ -35,14 +35,14 @@ def _metadata_text(df: DataFrame, name: str) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
-def to_csv_rows(det: DataFrame, include: Sequence[str] = ()) -> DataFrame:
-    """Text cells of the CSV table, with the asked-for metadata columns behind the core ones."""
+def to_csv_rows(det: DataFrame, include: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """Text cells of the CSV table, with the asked-for metadata columns behind the core ones, then those to ``carry``."""
     names = ["scientific_name", "common_name", "file"]
     sci, common, file = (F.col(n) for n in names)
     cells = [_time("start_s"), _time("end_s"), sci, common, _confidence(), file]
     core = [cell.alias(title) for cell, title in zip(cells, K.CSV_HEADER)]
     extra = [_metadata_text(det, c).alias(c) for c in include]
-    return det.select(*core, *extra)
+    return det.select(*core, *extra, *carry)
 
 
 def to_parquet_rows(
@@ -64,8 +64,8 @@ def to_parquet_rows(
     )
 
 
-def to_raven_rows(det: DataFrame) -> DataFrame:
-    """Selection table, numbered per recording in detection order."""
+def to_raven_rows(det: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Selection table, numbered per recording in detection order; columns to ``carry`` follow."""
     numbered = selection_number(det)
     cells = [
         F.col("selection"),
@@ -81,21 +81,22 @@ def to_raven_rows(det: DataFrame) -> DataFrame:
         F.col("file"),
         _time("start_s"),
     ]
-    return numbered.select(*[c.alias(t) for c, t in zip(cells, K.RAVEN_HEADER)])
+    return numbered.select(*[c.alias(t) for c, t in zip(cells, K.RAVEN_HEADER)], *carry)
 
 
-def to_audacity_rows(det: DataFrame) -> DataFrame:
-    """Label track: start, end, name, confidence."""
+def to_audacity_rows(det: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Label track: start, end, name, confidence; columns to ``carry``, such as the recording, follow."""
     return det.select(
         _time("start_s").alias("start"),
         _time("end_s").alias("end"),
         comma_separated(F.col("common_name")).alias("label"),
         _confidence().alias("confidence"),
+        *carry,
     )
 
 
-def to_kaleidoscope_rows(det: DataFrame) -> DataFrame:
-    """Folder-based table with offset and duration."""
+def to_kaleidoscope_rows(det: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Folder-based table with offset and duration; columns to ``carry`` follow."""
     file = F.col("file")
     length = F.col("end_s").cast("float") - F.col("start_s").cast("float")
     cells = [
@@ -107,7 +108,7 @@ def to_kaleidoscope_rows(det: DataFrame) -> DataFrame:
         underscored(F.col("common_name")),
         _confidence(),
     ]
-    return det.select(*[c.alias(t) for c, t in zip(cells, K.KALEIDOSCOPE_HEADER)])
+    return det.select(*[c.alias(t) for c, t in zip(cells, K.KALEIDOSCOPE_HEADER)], *carry)
 
 
 def _quoted(cell: Column) -> Column:
@@ -118,9 +119,9 @@ def _quoted(cell: Column) -> Column:
     return F.when(special, F.concat(F.lit('"'), doubled, F.lit('"'))).otherwise(cell)
 
 
-def to_lines(rows: DataFrame, sep: str, quote: bool = False) -> Column:
-    """One text line per row; with ``quote``, cells holding separators are quoted."""
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns]
+def to_lines(rows: DataFrame, sep: str, quote: bool = False, carry: Sequence[str] = ()) -> Column:
+    """One text line per row; with ``quote``, cells holding separators are quoted. Carried columns are no cells."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns if c not in carry]
     return F.concat_ws(sep, *[_quoted(c) if quote else c for c in cells])
 
 

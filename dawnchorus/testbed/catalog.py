@@ -5,6 +5,7 @@ from dawnchorus.testbed import (  # noqa: F401
     checks_basics,
     checks_clips,
     checks_formats,
+    checks_recordings,
     checks_species,
     checks_streams,
 )

@@ -1,3 +1,4 @@
+import contextlib
 import random
 
 import pytest
@@ -13,6 +14,19 @@ def det(spark, rows):
     return spark.createDataFrame(full, PARSED)
 
 
+PARSED_COLUMNS = "file string, start double, end double, scientific_name string, common_name string, confidence float"
+
+
+@contextlib.contextmanager
+def in_ranges(spark, count):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(count))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def simulate(rows, pre, post):
     """Clips by walking sorted ranges; rows are (file, start, end, species, common, conf)."""
     clips = []
@@ -85,12 +99,39 @@ def _random_rows(seed, count, long_share):
 
 
 @pytest.mark.parametrize("pre,post", [(0, 0), (5, 5), (0.5, 2), (30, 0)])
-@pytest.mark.parametrize("block_s", [10.0, 77.0, 3600.0])
-def test_blocks_give_the_same_clips(spark, pre, post, block_s):
-    rows = _random_rows(int(pre * 10 + block_s), 400, 0.03)
+@pytest.mark.parametrize("ranges", [1, 3, 8, 40])
+def test_ranges_give_the_same_clips(spark, pre, post, ranges):
+    rows = _random_rows(int(pre * 10 + ranges), 400, 0.03)
     df = spark.createDataFrame(rows, "file string, start double, end double, scientific_name string, common_name string, confidence float")
-    got = intervals.merge_detections(df, pre, post, block_s=block_s)
-    assert rows_of(got, *COLUMNS) == simulate(rows, pre, post)
+    with in_ranges(spark, ranges):
+        got = intervals.merge_detections(df, pre, post)
+        assert rows_of(got, *COLUMNS) == simulate(rows, pre, post)
+
+
+def test_null_and_empty_keys_stay_apart(spark):
+    rows = [(f, 1.0, 2.0, s, "c", 0.5) for f in (None, "", "a") for s in (None, "", "x")] * 2
+    df = spark.createDataFrame(rows, PARSED_COLUMNS)
+    for ranges in (1, 5):
+        with in_ranges(spark, ranges):
+            clips = intervals.merge_detections(df, 1, 1)
+            assert [r["detection_count"] for r in clips.collect()] == [2] * 9
+            assert intervals.detections_in_clips(df, clips).count() == len(rows)
+
+
+def test_rows_without_times_and_no_rows(spark):
+    rows = [("a", None, 2.0, "s", "c", 0.5), ("a", 1.0, None, "s", "c", 0.5), ("a", 1.0, 2.0, "s", None, None)]
+    got = intervals.merge_detections(spark.createDataFrame(rows, PARSED_COLUMNS), 1, 1)
+    assert rows_of(got, *COLUMNS) == [("a", "s", None, 0.0, 3.0, None, 1)]
+    assert intervals.merge_detections(spark.createDataFrame([], PARSED_COLUMNS), 1, 1).collect() == []
+
+
+def test_rows_are_shuffled_once_and_runs_once(spark):
+    df = spark.createDataFrame(_random_rows(1, 50, 0.0), PARSED_COLUMNS)
+    got = intervals.merge_detections(df, 1, 1)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # Full rows go by range, once for both readers; the other shuffles hold runs, and a row per range.
+    assert plan.count("rangepartitioning") == 2 and "ReusedExchange" in plan
 
 
 def test_copies_and_one_huge_group(spark):

@@ -141,21 +141,30 @@ def test_combine_files(spark, tmp_path):
     assert combine.combined_path("/out/", "csv") == "/out/BirdNET_CombinedTable.csv"
 
 
-@pytest.mark.parametrize("copies_per_row", [100_000, 7])
-def test_numbers_over_blocks_with_copies(spark, monkeypatch, copies_per_row):
-    """A hot recording with many copies: numbers are complete and follow the order."""
-    monkeypatch.setattr(scale, "COPIES_PER_ROW", copies_per_row)
+@pytest.mark.parametrize("ranges", [1, 3, 8, 60])
+def test_numbers_over_ranges_with_copies(spark, ranges):
+    """A hot recording with many copies, and null and empty keys: numbers are complete and follow the order."""
     det = spark.range(5000).select(
-        F.when(F.col("id") % 5 < 4, F.lit("hot")).otherwise(F.lit("cold")).alias("file"),
+        F.when(F.col("id") % 5 < 4, F.lit("hot")).when(F.col("id") % 10 == 4, F.lit("")).when(F.col("id") % 20 == 9, F.lit("cold")).alias("file"),
         F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise((F.col("id") % 997) * 31.0).cast("float").alias("start_s"),
         F.lit(1.0).cast("float").alias("end_s"), F.lit("s").alias("scientific_name"), F.lit("c").alias("common_name"), F.lit(0.5).cast("float").alias("confidence"),
     )
-    got = ordering.selection_number(det)
-    for file in ("hot", "cold"):
-        rows = got.filter(F.col("file") == file).orderBy("selection").collect()
-        assert [r["selection"] for r in rows] == list(range(1, len(rows) + 1))
-        assert [r["start_s"] for r in rows] == sorted(r["start_s"] for r in rows)
-    assert got.count() == 5000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        got = ordering.selection_number(det)
+        found = got.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found) == 5000
+    for file in ("hot", "cold", "", None):
+        rows = sorted((r["selection"], r["start_s"]) for r in found if r["file"] == file)
+        assert rows and [n for n, _ in rows] == list(range(1, len(rows) + 1))
+        assert [s for _, s in rows] == sorted(s for _, s in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # Full rows are shuffled once, for both readers; the other shuffles hold a row per range.
+    kind = "rangepartitioning" if ranges > 1 else "SinglePartition, REPARTITION_BY_NUM"
+    assert plan.count(kind) == 2 and "ReusedExchange" in plan
 
 
 def test_order_splits_a_hot_recording(spark):
