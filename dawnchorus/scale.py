@@ -165,7 +165,9 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], na
     numbered = spread.mapInArrow(_numbering(len(width), list(group)), local)
     edge = [T.StructField(f"_g{i}", width[g].dataType) for i, g in enumerate(group)]
     kinds = [T.StructField(n, T.LongType()) for n in ("_range", "_first", "_head", "_rows")]
-    edges = spread.mapInArrow(_range_edges(list(group)), T.StructType([*edge, *kinds]))
+    # The sort needs every column, so the narrower reader shares the shuffle and the sort order.
+    narrow = spread.select(*[F.col(f"`{c}`") for c in group], "_range", "_row")
+    edges = narrow.mapInArrow(_range_edges(list(group)), T.StructType([*edge, *kinds]))
     along = Window.partitionBy(*[f.name for f in edge]).orderBy("_range", F.desc("_head"))
     before = F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1))
     # One row per range, however many rows there are.
