@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import (
+    ExpiredTimerInfo,
+    StatefulProcessor,
+    StatefulProcessorHandle,
+    TimerValues,
+)
 
 from dawnchorus import schemas
 from dawnchorus.constants import PROGRESS_INTERVAL_MS, PROGRESS_STEP_PERCENT
@@ -17,6 +24,11 @@ from dawnchorus.operators.summaries import run_status, status_counts
 from dawnchorus.sources.events import payloads
 
 
+# Updates of a file are decided together for so long.
+SLICE_MS = 10_000
+# Rows of one output batch.
+ROWS_AT_ONCE = 10_000
+
 # Helpers of this module travel with the tasks, so workers need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -81,51 +93,111 @@ def passes_throttle(
     return shown, whole
 
 
-def _throttle(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last = state.get if state.exists else None
-    # One trigger's updates of a file come in several Arrow batches, in no order.
-    rows = pd.concat(list(batches), ignore_index=True)
-    rows = rows.sort_values(["timestamp", "percent"], kind="stable")
-    # Microseconds from the timestamp, whatever unit pandas holds it in.
-    millis = rows["timestamp"].astype("datetime64[us]").astype("int64") // 1000
+class _OrderedThrottle(StatefulProcessor):
+    """Holds a file's updates by slices of time and decides on a slice when the watermark has passed it."""
+
+    def __init__(self, silence_ms: int):
+        self.silence_ms = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "percent int, shown_ms bigint, seen_ms bigint")
+        self.held = handle.getMapState("held", "slice bigint, part bigint", "micros binary, percents binary")
+        self.parts = handle.getValueState("parts", "next bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        due = set()
+        for batch in rows:
+            # Microseconds from the timestamp, whatever unit pandas holds it in.
+            micros = batch["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
+            percents = batch["percent"].to_numpy(dtype=np.float32, na_value=np.nan)
+            usable = ~np.isnan(percents)
+            micros, percents = micros[usable], percents[usable]
+            slices = micros // (SLICE_MS * 1000)
+            for one in np.unique(slices).tolist():
+                mine = slices == one
+                self._hold(one, micros[mine], percents[mine])
+                due.add((one + 1) * SLICE_MS)
+        for at in due:
+            self.handle.registerTimer(at)
+        yield from ()
+
+    def _hold(self, piece: int, micros: np.ndarray, percents: np.ndarray) -> None:
+        at = self.parts.get()[0] if self.parts.exists() else 0
+        self.parts.update((at + 1,))
+        self.held.updateValue((piece, at), (micros.tobytes(), percents.tobytes()))
+
+    def handleExpiredTimer(
+        self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ) -> Iterator[pd.DataFrame]:
+        upto = expiredTimerInfo.getExpiryTimeInMs()
+        parts = sorted(tuple(k) for k in self.held.keys())
+        ready = [k for k in parts if (k[0] + 1) * SLICE_MS <= upto]
+        last = tuple(self.last.get()) if self.last.exists() else None
+        # Slice by slice, so that what is read at once is bounded by a slice.
+        for piece, group in itertools.groupby(ready, key=lambda k: k[0]):
+            names = list(group)
+            values = [self.held.getValue(k) for k in names]
+            micros = np.concatenate([np.frombuffer(v[0], np.int64) for v in values])
+            percents = np.concatenate([np.frombuffer(v[1], np.float32) for v in values])
+            order = np.lexsort((percents, micros))
+            micros, percents = micros[order], percents[order]
+            shown, last = throttled(micros // 1000, percents, last, self.silence_ms)
+            for k in names:
+                self.held.removeKey(k)
+            for low in range(0, len(shown), ROWS_AT_ONCE):
+                some = shown[low : low + ROWS_AT_ONCE]
+                at = pd.to_datetime(micros[some], unit="us", utc=True)
+                yield pd.DataFrame({"file": key[0], "percent": percents[some], "timestamp": at})
+        if last is None:
+            self.last.clear()
+        elif ready:
+            self.last.update(last)
+            self.handle.registerTimer(last[2] + self.silence_ms)
+        elif upto >= last[2] + self.silence_ms and not parts:
+            # Nothing for so long: what comes next starts anew, as it would with the state kept.
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def throttled(
+    millis: np.ndarray, percents: np.ndarray, last: tuple | None, silence_ms: int
+) -> tuple[list[int], tuple | None]:
+    """Places of the updates that are shown, of a file's updates in order, and what is kept of the file after them."""
     shown = []
-    for percent, at_ms in zip(rows["percent"], millis):
-        # The clock of a file starts with its first update.
-        last = last if last is not None else (0, int(at_ms))
-        emit, whole = passes_throttle(percent, at_ms, *last)
-        last = (whole, int(at_ms)) if emit else last
-        shown.append(emit)
-    if last is not None and last[0] < 100:
-        state.update(last)
-        # Silence until the watermark is past the last update ends a file, too.
-        state.setTimeoutTimestamp(max(int(millis.max()), state.getCurrentWatermarkMs()) + 1)
-    elif state.exists:
-        state.remove()
-    yield rows.loc[shown, ["file", "percent", "timestamp"]]
-
-
-def throttle_progress(updates: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Progress updates worth showing, decided per file with kept state.
+    for place, (at, percent) in enumerate(zip(millis.tolist(), percents.tolist())):
+        # The clock of a file starts with its first update, and again after a silence.
+        known = last if last is not None and at - last[2] < silence_ms else (0, at, at)
+        emit, whole = passes_throttle(percent, at, known[0], known[1])
+        last = (whole, at, at) if emit else (known[0], known[1], at)
+        if emit:
+            shown.append(place)
+            last = None if whole == 100 else last
+    return shown, last
+
+
+def throttle_progress(updates: DataFrame, watermark: str = "1 hour", silence_s: float = 3600.0) -> DataFrame:
+    """Progress updates worth showing, decided per file in the order of time.
 
     Shown are 0 and 100 percent, steps of ten points, and anything half a second after the last
-    shown one, in the order of time (ties by percent) within a trigger and across triggers. State is two
-    numbers per unfinished file; it goes when the file reaches 100 or ``watermark`` has passed
-    without an update. Later updates than the watermark allows are dropped.
+    shown one. A file begins anew after 100 percent and after ``silence_s`` without an update.
+
+    Updates wait in state until the watermark has passed their slice of time (SLICE_MS), and are then decided in
+    the order of time, ties by percent, whatever files and triggers they came in; so the result is the same for
+    every arrival order of updates that are not later than ``watermark`` allows. Later ones are dropped, as are those
+    without a percentage. A file with very many updates is held in the state store (RocksDB, as ``tune`` sets it) and read
+    a slice at a time.
     """
     return (
         updates.select("file", "percent", "timestamp")
         .withWatermark("timestamp", watermark)
         .groupBy("file")
-        .applyInPandasWithState(
-            _throttle,
+        .transformWithStateInPandas(
+            _OrderedThrottle(int(silence_s * 1000)),
             "file string, percent float, timestamp timestamp",
-            "last_percent int, last_ms bigint",
             "append",
-            GroupStateTimeout.EventTimeTimeout,
+            "EventTime",
         )
     )

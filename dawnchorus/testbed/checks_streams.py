@@ -161,7 +161,9 @@ def dedupe_completed(t: Tables) -> DataFrame:
                 CAST(floor(CAST(least(value / 5, 99.0) AS FLOAT)) AS INTEGER) AS whole,
                 row_number() OVER (PARTITION BY user_id
                                    ORDER BY ts, CAST(least(value / 5, 99.0) AS FLOAT)) AS n
-         FROM events),
+         FROM events
+         -- Updates wait for the watermark, an hour before the latest one, to pass their ten seconds.
+         WHERE (epoch_ms(ts) // 10000 + 1) * 10000 <= (SELECT max(epoch_ms(ts)) FROM events) - 3600000),
        s AS (
          SELECT *, whole IN (0, 100) OR whole >= 10 AS shown,
                 CASE WHEN whole IN (0, 100) OR whole >= 10 THEN whole ELSE 0 END AS last_percent,
@@ -169,24 +171,24 @@ def dedupe_completed(t: Tables) -> DataFrame:
          FROM u WHERE n = 1
          UNION ALL
          SELECT file, percent, timestamp, ms, whole, n, pass,
-                CASE WHEN pass THEN whole ELSE last_percent END,
-                CASE WHEN pass THEN ms ELSE last_ms END
-         FROM (SELECT u.*, s.last_percent, s.last_ms,
-                      u.whole IN (0, 100) OR u.whole - s.last_percent >= 10
-                      OR u.ms - s.last_ms >= 500 AS pass
-               FROM s JOIN u ON u.file = s.file AND u.n = s.n + 1))
+                CASE WHEN pass THEN whole ELSE from_percent END,
+                CASE WHEN pass THEN ms ELSE from_ms END
+         FROM (SELECT f.*, whole IN (0, 100) OR whole - from_percent >= 10 OR ms - from_ms >= 500 AS pass
+               FROM (SELECT u.*,
+                            -- After an hour without an update a file begins anew.
+                            CASE WHEN u.ms - s.ms >= 3600000 THEN 0 ELSE s.last_percent END AS from_percent,
+                            CASE WHEN u.ms - s.ms >= 3600000 THEN u.ms ELSE s.last_ms END AS from_ms
+                     FROM s JOIN u ON u.file = s.file AND u.n = s.n + 1) f))
        SELECT file, percent, ms AS at_ms FROM s WHERE shown""",
 )
 def throttle_progress(t: Tables) -> DataFrame:
-    updates = t.stream("events").select(
+    # One trigger takes all files, which may overlap in time, so that none is late.
+    updates = t.stream("events", 1 << 20).select(
         F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"),
         F.least(F.col("value") / 5, F.lit(99.0)).cast("float").alias("percent"),
         F.col("ts").cast("timestamp").alias("timestamp"),
     )
-    # The files of a table may overlap in time, so nothing is late within the table's own span.
-    span = t.raw("events").select(F.col("ts").cast("timestamp").cast("double").alias("s")).agg(F.max("s") - F.min("s"))
-    seconds = int(span.first()[0] or 0) + 3600
-    shown = live_events.throttle_progress(updates, watermark=f"{seconds} seconds")
+    shown = live_events.throttle_progress(updates)
     return drained(t, shown.select("file", "percent", F.unix_millis("timestamp").alias("at_ms")))
 
 

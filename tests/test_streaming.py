@@ -2,6 +2,7 @@ import json
 import os
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -61,25 +62,46 @@ def progress(ms, file, percent):
     return (at.isoformat().replace("+00:00", "Z"), "progress", {"file": {"path": file, "segments_done": 1, "segments_total": 100, "percent": percent}})
 
 
+END = [progress(10**8, "end", 5.0)]
+
+
+def throttle_batches(spark, tmp_path, batches, name):
+    """Shown (file, percent, ms) of updates that come batch by batch; a last one far ahead moves the watermark on."""
+    (tmp_path / name).mkdir()
+    updates = log.progress_updates(log.stream_event_log(spark, write_log(tmp_path / name, [*batches, END]), 1))
+    shown = run(log.throttle_progress(updates), tmp_path / name, name=name)
+    rows = shown.select("file", "percent", F.unix_millis("timestamp").alias("ms")).orderBy("file", "timestamp", "percent")
+    return [(r["file"], round(r["percent"], 2), r["ms"]) for r in rows.collect()]
+
+
 def test_progress_throttle(spark, tmp_path):
     steps = [(0, 0.5), (10, 3.0), (20, 12.0), (30, 15.0), (600, 16.0), (610, 17.0), (620, 99.9), (630, 100.0)]
     batches = [[progress(ms, "a", p) for ms, p in steps[:4]], [progress(ms, "a", p) for ms, p in steps[4:]]]
-    updates = log.progress_updates(log.stream_event_log(spark, write_log(tmp_path, batches), 1))
-    shown = run(log.throttle_progress(updates), tmp_path, name="throttled")
-    assert [round(r["percent"], 1) for r in shown.orderBy("timestamp").collect()] == [0.5, 12.0, 16.0, 99.9, 100.0]
+    got = throttle_batches(spark, tmp_path, batches, "throttled")
+    assert [p for _, p, _ in got] == [0.5, 12.0, 16.0, 99.9, 100.0]
 
 
-def test_throttle_orders_large_triggers_and_forgets(spark, tmp_path):
+def test_throttle_is_in_the_order_of_time_whatever_arrives_first(spark, tmp_path):
+    """Many triggers that overlap in time give what one fold over the sorted updates gives."""
     draw = random.Random(5)
-    steps = [(i * 3, round(i / 400, 2)) for i in range(12_000)]
-    last, want = (0, 0), 0
-    for ms, percent in steps:
-        emit, whole = log.passes_throttle(percent, ms, *last)
-        last = (whole, ms) if emit else last
-        want += emit
+    steps = [(f"f{draw.randrange(3)}", draw.randrange(0, 3_000_000), round(draw.uniform(0, 100), 2)) for _ in range(3000)]
+    steps += [("hot", i * 7, round(i / 60, 2)) for i in range(6000)]
     draw.shuffle(steps)
-    updates = log.progress_updates(log.stream_event_log(spark, write_log(tmp_path, [[progress(ms, "a", p) for ms, p in steps]]), 1))
-    assert run(log.throttle_progress(updates), tmp_path, name="large").count() == want
+    want = []
+    for file in sorted({f for f, _, _ in steps}):
+        mine = sorted((ms, np.float32(p)) for f, ms, p in steps if f == file)
+        shown, _ = log.throttled(np.array([m for m, _ in mine]), np.array([p for _, p in mine], np.float32), None, 3_600_000)
+        want += [(file, round(float(mine[i][1]), 2), mine[i][0]) for i in shown]
+    batches = [[progress(ms, f, p) for f, ms, p in steps[i::12]] for i in range(12)]
+    got = throttle_batches(spark, tmp_path, batches, "mixed")
+    first = min(ms for _, _, ms in got) - min(ms for _, _, ms in want)
+    assert sorted((f, p, ms - first) for f, p, ms in got) == sorted(want)
+
+
+def test_throttle_starts_anew_after_silence(spark, tmp_path):
+    batches = [[progress(0, "a", 50.0), progress(100, "a", 55.0)], [progress(7_200_000, "a", 5.0), progress(7_200_100, "a", 14.0)]]
+    got = throttle_batches(spark, tmp_path, batches, "silent")
+    assert [p for _, p, _ in got] == [50.0, 14.0]
 
 
 def test_throttle_rule():

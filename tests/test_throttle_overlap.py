@@ -8,6 +8,8 @@ from dawnchorus.testbed.tables import Tables
 
 def test_files_that_overlap_in_time(spark, tmp_path):
     rows = [(k, f"2024-01-{1 + k % 25:02d} 10:00:00", 500.0) for k in range(100)]
+    # The last update of all only moves the watermark on, and waits for more.
+    rows.append((100, "2024-01-28 10:00:00", 500.0))
     table = spark.createDataFrame(rows, "user_id long, ts string, value double").selectExpr(
         "user_id", "CAST(ts AS timestamp) AS ts", "value"
     )
