@@ -157,9 +157,10 @@ def train_languages(
     rows = labels.select(F.col(label).alias("label"), F.col(language).alias("language"))
     rows = rows.where("label IS NOT NULL AND language IS NOT NULL")
     rows = rows.withColumn("h", F.xxhash64("label"))
-    # Few rows go further: of each language those below the hash that about four times the sample is below.
-    counts = rows.groupBy("language").count().collect()
-    limits = [(r[0], min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * sample / r[1])))) for r in counts]
+    # Few rows go further: of each language those below the hash that about four times the sample is below. Copies
+    # share a hash, so it is the different ones that count.
+    counts = rows.groupBy("language").agg(F.approx_count_distinct("h")).collect()
+    limits = [(r[0], min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * sample / max(1, r[1]))))) for r in counts]
     table = rows.sparkSession.createDataFrame(limits, "language string, below long")
     near = rows.join(F.broadcast(table), "language").where("h <= below").select("language", "label", "h").distinct()
     first = Window.partitionBy("language").orderBy("h", F.xxhash64(F.reverse("label")))
