@@ -191,6 +191,39 @@ def opens_group(table: pa.RecordBatch, group: Sequence[str], last: tuple | None)
     return opens
 
 
+def grouped_slices(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[Iterator[pa.RecordBatch]]:
+    """For each group of consecutive rows with equal keys, its rows as slices of batches; a group may go over many."""
+
+    def pieces() -> Iterator[tuple[bool, pa.RecordBatch]]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            opens = opens_group(batch, keys, last)
+            last = group_at(batch, keys, batch.num_rows - 1)
+            cuts = np.unique(np.append(np.flatnonzero(opens), [0, len(opens)]))
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield bool(opens[low]), batch.slice(low, high - low)
+
+    stream = pieces()
+    ahead = next(stream, None)
+
+    def group() -> Iterator[pa.RecordBatch]:
+        nonlocal ahead
+        yield ahead[1]
+        ahead = next(stream, None)
+        while ahead is not None and not ahead[0]:
+            yield ahead[1]
+            ahead = next(stream, None)
+
+    while ahead is not None:
+        rows = group()
+        yield rows
+        # What was not asked for is passed over.
+        for _ in rows:
+            pass
+
+
 def group_at(table: pa.RecordBatch, group: Sequence[str], row: int) -> tuple:
     return tuple(table.column(name)[row].as_py() for name in group)
 

@@ -19,7 +19,7 @@ from dawnchorus import constants as K
 from dawnchorus.functions.paths import base_name, parent_path, suffixed_path
 from dawnchorus.operators.ordering import selection_number
 from dawnchorus.operators.summaries import recording_summary
-from dawnchorus.scale import kept, opens_group
+from dawnchorus.scale import grouped_slices, kept
 from dawnchorus.sinks import tables
 from dawnchorus.storage import Store, copy_into, draft, folder_of, open_store, publish
 
@@ -230,18 +230,6 @@ def _part_writer(store: Store, run: str, parquet: bool) -> Callable:
     """Writes the files of sorted pieces; a file that lies in one range takes its name here, others leave drafts."""
     made = _ParquetFile if parquet else _TextFile
 
-    def consecutive(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["path", "owner"])
-            opens = opens_group(keys, ["path", "owner"], last)
-            last = (keys.column(0)[len(opens) - 1].as_py(), keys.column(1)[len(opens) - 1].as_py())
-            cuts = np.unique(np.append(np.flatnonzero(opens), [0, len(opens)]))
-            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                yield bool(opens[low]), batch.slice(low, high - low)
-
     def write(pieces: Iterator[pa.RecordBatch]) -> dict:
         """One file's pieces; stops quietly at an error, which the row tells."""
         first = next(pieces)
@@ -266,24 +254,11 @@ def _part_writer(store: Store, run: str, parquet: bool) -> Callable:
                 row["draft"] = name
         except (OSError, pa.ArrowException) as error:
             row["error"] = f"{type(error).__name__}: {error}"
-        for _ in pieces:
-            pass
         return row
 
     def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = consecutive(batches)
-        ahead = next(stream, None)
-        while ahead is not None:
-
-            def of_file() -> Iterator[pa.RecordBatch]:
-                nonlocal ahead
-                yield ahead[1]
-                ahead = next(stream, None)
-                while ahead is not None and not ahead[0]:
-                    yield ahead[1]
-                    ahead = next(stream, None)
-
-            yield _part_rows([write(of_file())])
+        for pieces in grouped_slices(batches, ["path", "_owner"]):
+            yield _part_rows([write(pieces)])
 
     return run_task
 

@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import csv
-import io
+import itertools
+import re
 import sys
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dawnchorus import schemas
 from dawnchorus.constants import CSV_HEADER
+from dawnchorus.scale import grouped_slices, is_small
 
 # Helpers of this module travel with the tasks, so workers need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Rows of one output batch, and lines of a block's beginning that are kept to end a record of the block before.
+ROWS_AT_ONCE, MOST_HEAD_LINES = 10_000, 1000
+
 _REQUIRED = CSV_HEADER[:5]
 _TEXT = ["start", "end", "scientific_name", "common_name", "confidence"]
 
@@ -59,22 +64,28 @@ def read_detections_csv(
 ) -> DataFrame:
     """Result CSVs as parsed detections, columns found by name, extra columns ignored.
 
-    ``headers="same"``: all files share one header; a file whose header differs is an error. Quoted
-    fields may hold line ends; with ``multiline=False`` they may not, and large files are split. ``headers="mixed"``: many small files with differing
-    columns, each read whole. ``on_bad``: ``fail``, or ``flag`` to add ``malformed``; mixed files then also
-    give ``line`` (where the row begins, the header being line 1) and ``error``. A file that can't be read to its
-    end, or lacks a required column, gives its rows so far and one row with null ``line`` and the reason in ``error``.
+    ``headers="same"``: all files share one header; a file whose header differs is an error. ``headers="mixed"``: each file
+    is read by its own. ``on_bad``: ``fail``, or ``flag`` to add ``malformed``, ``line`` (where the row begins, the header
+    being line 1) and ``error``. A file, or a block of a large one, that can't be read to its end gives its rows so far and one row
+    with null ``line`` and the reason in ``error``; one that lacks a required column, or whose header differs, gives that
+    row alone. Other files go on.
+
+    Quoted fields may hold line ends, also in large files, which many tasks read. Only with ``headers="same"`` and
+    ``on_bad="fail"`` is a file with such fields read by one task; ``multiline=False`` says that there are none.
     """
     if on_bad not in ("fail", "flag"):
         raise ValueError(f"unknown policy {on_bad!r}")
-    if headers == "mixed":
-        raw = _read_mixed(spark, paths, strict=on_bad == "fail")
+    if headers not in ("same", "mixed"):
+        raise ValueError(f"unknown header mode {headers!r}")
+    if headers == "mixed" or on_bad == "flag":
+        expected = None
+        if headers == "same":
+            expected = _first_header(spark, paths)
+        raw = _read_by_header(spark, paths, on_bad == "fail", expected)
         if on_bad == "fail":
             return _typed(raw, on_bad)
         placed = _typed(raw, on_bad, ["line", "error"])
         return placed.withColumn("malformed", F.col("malformed") | F.col("error").isNotNull())
-    if headers != "same":
-        raise ValueError(f"unknown header mode {headers!r}")
     raw = spark.read.csv(
         paths,
         header=True,
@@ -98,47 +109,209 @@ def read_detections_csv(
     return _typed(raw.select(decoded_path(F.col("_metadata.file_path")).alias("file"), *picked), on_bad)
 
 
-def _read_mixed(spark: SparkSession, paths: str | Sequence[str], strict: bool) -> DataFrame:
-    def rows_of(content: bytes) -> Iterator[tuple]:
-        """(line, error, cells...) of every row; raises where the file breaks off."""
-        reader = csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""))
-        header = [h.strip() for h in next(reader, [])]
-        missing = [c for c in _REQUIRED if c not in header]
-        if header and missing:
+def _files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(path, length) of the files, from their listing alone."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length")
+
+
+def _first_header(spark: SparkSession, paths: str | Sequence[str]) -> list[str] | None:
+    """Column names of the first file by path that holds anything."""
+    first = _files(spark, paths).where("length > 0").agg(F.min("path")).first()[0]
+    if first is None:
+        return None
+    named = spark.read.csv(re.sub(r"([\\{}\[\]*?])", r"\\\1", first), header=True).columns
+    return [c.strip().lstrip("﻿") for c in named]
+
+
+_BOM = b"\xef\xbb\xbf"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Iterator[bytes]]]:
+    """(facts, lines) of each block of a file, as the text reader cut it."""
+    for slices in grouped_slices(batches, ["file", "block"]):
+        begin = next(slices)
+        facts = begin.drop_columns(["value"]).slice(0, 1).to_pylist()[0]
+        values = itertools.chain([begin], slices)
+        lines = (line for piece in values for line in piece.column("value").to_pylist())
+        if facts["block"] == 0:
+            lines = itertools.chain([next(lines).removeprefix(_BOM)], lines)
+        yield facts, lines
+
+
+def _block_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per block of a file that may have several: its quotes, its lines, and how it begins.
+
+    ``head`` are the lines up to the first with an odd number of quotes: what ends a record that an earlier block left open.
+    """
+    for first, lines in _blocks(batches):
+        if not first["large"]:
+            continue
+        quotes = count = 0
+        head, closed = [], False
+        for line in lines:
+            found = line.count(b'"')
+            if not closed:
+                head.append(line)
+                closed = found % 2 == 1
+                if not closed and len(head) > MOST_HEAD_LINES:
+                    head, closed = head[:1], None
+                    break
+            quotes += found
+            count += 1
+        for line in lines:
+            quotes += line.count(b'"')
+            count += 1
+        if closed is None:
+            # Counted above up to the break.
+            quotes, count, closed = quotes + found, count + 1, False
+        opening = head[0] if first["block"] == 0 and head else None
+        yield pa.RecordBatch.from_pydict(
+            {
+                "file": pa.array([first["file"]], pa.string()),
+                "block": pa.array([first["block"]], pa.int64()),
+                "quotes": pa.array([quotes], pa.int64()),
+                "lines": pa.array([count], pa.int64()),
+                "head": pa.array([b"\n".join(head)], pa.binary()),
+                "closed": pa.array([closed]),
+                "opening": pa.array([opening], pa.binary()),
+            }
+        )
+
+
+# What the second pass knows of a block.
+_KNOWN = {"odd": "boolean", "lines_before": "bigint", "opening": "binary", "tail": "binary", "tail_lost": "boolean"}
+
+
+def _text(line: bytes) -> str:
+    return line.decode("utf-8")
+
+
+class _Header:
+    """Where the required columns are in the rows of a file."""
+
+    def __init__(self, cells: list[str], expected: list[str] | None):
+        names = [c.strip().lstrip("﻿") for c in cells]
+        missing = [c for c in _REQUIRED if c not in names]
+        if names and missing:
             raise ValueError(f"missing required columns {missing}")
-        at = [header.index(c) for c in _REQUIRED] if header else []
-        line = reader.line_num + 1
-        for row in reader if header else ():
-            if row:
-                short = None if len(row) > max(at) else f"line {line}: {len(row)} fields"
+        if names and expected is not None and names != expected:
+            raise ValueError(f"header differs: {names}")
+        self.at = [names.index(c) for c in _REQUIRED] if names else []
+
+
+def _parser(strict: bool, expected: list[str] | None):
+    """Rows (file, line, error, cells…) of the lines of blocks."""
+
+    def rows_of(first: dict, lines: Iterator[bytes]) -> Iterator[tuple]:
+        before = 0
+        if first["block"] > 0:
+            if first["opening"] is None:
+                raise RuntimeError(f"{first['file']}: the file changed while it was read")
+            header = _Header(next(csv.reader([_text(first["opening"])]), []), expected)
+            before = first["lines_before"]
+            if first["odd"]:
+                # The end of a record that belongs to the block before.
+                for line in lines:
+                    before += 1
+                    if line.count(b'"') % 2:
+                        break
+        else:
+            header = None
+        tail = first["tail"]
+        if tail is not None:
+            lines = itertools.chain(lines, tail.split(b"\n"))
+        if first["tail_lost"]:
+            raise ValueError("a quoted field goes on over more than a block")
+        reader = csv.reader(_text(line) + "\n" for line in lines)
+        line = before + 1
+        for row in reader:
+            if header is None:
+                header = _Header(row, expected)
+                if not header.at:
+                    return
+            elif row:
+                short = None if len(row) > max(header.at) else f"line {line}: {len(row)} fields"
                 if short and strict:
                     raise ValueError(short)
-                yield line, short, *[row[i].strip() if i < len(row) else None for i in at]
-            line = reader.line_num + 1
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for path, content in zip(files["path"], files["content"]):
-                rows = []
-                try:
-                    rows.extend(rows_of(content))
-                except (ValueError, csv.Error) as error:
-                    if strict:
-                        raise ValueError(f"{path}: {error}") from error
-                    rows.append((None, str(error), *[None] * len(_TEXT)))
-                frame = pd.DataFrame(rows, columns=["line", "error", *_TEXT], dtype=object)
-                frame["line"] = frame["line"].astype("Int64")
-                frame.insert(0, "file", path)
-                yield frame
-
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(paths)
-        .select("path", "content")
-    )
+                yield line, short, *[row[i].strip() if i < len(row) else None for i in header.at]
+            line = before + reader.line_num + 1
+
+    def frame(path: str, rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows))
+        arrays = [pa.array([path] * len(rows), pa.string()), pa.array(columns[0], pa.int64())]
+        arrays += [pa.array(c, pa.string()) for c in columns[1:]]
+        return pa.RecordBatch.from_arrays(arrays, names=["file", "line", "error", *_TEXT])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, lines in _blocks(batches):
+            held, path = [], first["file"]
+            try:
+                for row in rows_of(first, lines):
+                    held.append(row)
+                    if len(held) >= ROWS_AT_ONCE:
+                        yield frame(path, held)
+                        held = []
+            except (ValueError, csv.Error) as error:
+                if strict:
+                    raise ValueError(f"{path}: {error}") from error
+                # A file that cannot be used says so once, not in each of its blocks.
+                if first["block"] == 0 or not str(error).startswith(("missing", "header")):
+                    held.append((None, str(error), *[None] * len(_TEXT)))
+            if held:
+                yield frame(path, held)
+
+    return parse
+
+
+def _read_by_header(spark: SparkSession, paths: str | Sequence[str], strict: bool, expected: list[str] | None) -> DataFrame:
+    """Rows of CSV files, each by its own header, large files in several tasks.
+
+    Spark's text reader cuts files into blocks of whole lines, in any store it reads. A file of one block needs nothing
+    else. Of those that may have several, a first pass counts each block's quotes and lines, so that the second knows whether
+    a block begins inside a quoted field, which line it begins with, and how its last record ends.
+    """
     cells = ", ".join(f"{c} string" for c in _TEXT)
-    return files.mapInPandas(parse, f"file string, line bigint, error string, {cells}")
+    schema = f"file string, line bigint, error string, {cells}"
+    columns = ["file", "block", *_KNOWN, "value"]
+    conf = spark.conf
+    sizes = [conf.get(f"spark.sql.files.{name}") for name in ("maxPartitionBytes", "openCostInBytes")]
+    uncut = min(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(s) for s in sizes)
+    text = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(paths)
+    lines = text.select(
+        decoded_path(F.col("_metadata.file_path")).alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        (F.col("_metadata.file_size") > uncut).alias("large"),
+        F.col("value").cast("binary").alias("value"),
+    )
+    if _files(spark, paths).where(F.col("length") > uncut).isEmpty():
+        none = {c: F.lit(None).cast(kind) for c, kind in _KNOWN.items()}
+        return lines.withColumns(none).select(*columns).mapInArrow(_parser(strict, expected), schema)
+    facts = lines.mapInArrow(
+        _block_facts, "file string, block bigint, quotes bigint, lines bigint, head binary, closed boolean, opening binary"
+    )
+    along = Window.partitionBy("file").orderBy("block")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    open_at_end = F.sum("quotes").over(upto) % 2 == 1
+    known = facts.select(
+        "file",
+        "block",
+        (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).alias("odd"),
+        F.sum("lines").over(before).alias("lines_before"),
+        F.first("opening", ignorenulls=True).over(upto).alias("opening"),
+        F.when(open_at_end, F.lead("head").over(along)).alias("tail"),
+        (open_at_end & (F.lead("closed").over(along) == F.lit(False))).alias("tail_lost"),
+        F.lead("block").over(along).alias("_next"),
+    )
+    # Files of one block need none of it.
+    several = known.where("block > 0 OR _next IS NOT NULL").drop("_next")
+    if is_small(several, selective=True):
+        placed = lines.join(F.broadcast(several), ["file", "block"], "left")
+    else:
+        numbered = lines.withColumn("_at", F.monotonically_increasing_id())
+        joined = numbered.join(several, ["file", "block"], "left")
+        placed = joined.repartition("file", "block").sortWithinPartitions("file", "block", "_at").drop("_at")
+    return placed.select(*columns).mapInArrow(_parser(strict, expected), schema)
 
 
 def read_detections_parquet(

@@ -1,4 +1,7 @@
+import csv as python_csv
+import io
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -67,6 +70,53 @@ def test_csv_broken_files_stand_alone(spark, tmp_path):
         results.read_detections_csv(spark, folder, on_bad="other", headers="mixed")
 
 
+def test_csv_one_other_header_is_one_row(spark, tmp_path):
+    for i in range(5):
+        csv(tmp_path, f"{HEADER}\n{i},{i + 3},a,A,0.5\n", f"a{i}.csv")
+    folder = csv(tmp_path, "Confidence,Common name,Scientific name,End (s),Start (s)\n0.25,B,b,6,3\n", "z.csv")
+    got = results.read_detections_csv(spark, folder, on_bad="flag").collect()
+    assert len(got) == 6 and [r["file"].rsplit("/", 1)[1] for r in got if r["malformed"]] == ["z.csv"]
+
+
+def test_csv_large_files_are_read_by_many_tasks(spark, tmp_path):
+    """Blocks that begin in quoted fields, with the line numbers of a plain reader."""
+    rng = random.Random(4)
+    names = ["Owl, Barn", 'the "big" one', "plain", "two\nlines", "a\n\n\nb", 'q"\n"q', "three\nlines\n,here"]
+
+    def text(header, rows):
+        out = io.StringIO()
+        writer = python_csv.writer(out, lineterminator="\n")
+        writer.writerow(header)
+        writer.writerows(rows)
+        return out.getvalue()
+
+    head = HEADER.split(",")
+    rows = [[i, i + 3, f"s{i}", rng.choice(names), 0.5] for i in range(4000)]
+    csv(tmp_path, text(head, rows), "one.csv")
+    csv(tmp_path, text(head[::-1], [r[::-1] for r in rows[:1500]]), "two.csv")
+    csv(tmp_path, text(head, rows[:3]), "small.csv")
+    folder = csv(tmp_path, text(["x", "y"], [[1, 2]] * 3000), "bad.csv")
+    want = set()
+    for name in ("one.csv", "two.csv", "small.csv"):
+        reader = python_csv.DictReader(io.StringIO((tmp_path / "in" / name).read_text(), newline=""))
+        line = 2
+        for r in reader:
+            want.add((name, line, r["Scientific name"], r["Common name"]))
+            line = reader.line_num + 1
+    before = {k: spark.conf.get(f"spark.sql.files.{k}") for k in ("maxPartitionBytes", "openCostInBytes")}
+    for k in before:
+        spark.conf.set(f"spark.sql.files.{k}", "2000")
+    try:
+        got = results.read_detections_csv(spark, folder, on_bad="flag", headers="mixed")
+        assert got.rdd.getNumPartitions() > 40
+        rows = [(r["file"].rsplit("/", 1)[1], r["line"], r["scientific_name"], r["common_name"], r["error"]) for r in got.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.files.{k}", v)
+    assert {r[:4] for r in rows if not r[4]} == want and len([r for r in rows if not r[4]]) == len(want)
+    assert [(r[0], r[1]) for r in rows if r[4]] == [("bad.csv", None)]
+
+
 def test_csv_line_ends_in_fields_and_odd_paths(spark, tmp_path):
     folder = tmp_path / "my data+x"
     folder.mkdir()
