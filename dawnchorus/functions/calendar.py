@@ -14,7 +14,8 @@ _DAYS_BEFORE = [0] + _MONTH_ENDS[:-1]
 
 
 def _lookup(values: list[int], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    # Null beyond the list, such as for month 13.
+    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int") - 1)
 
 
 def model_week(month: Column, day: Column) -> Column:

@@ -7,13 +7,10 @@ storage paths work alike, and no file is ever read whole.
 
 from __future__ import annotations
 
-import contextlib
-import os
 import struct
 import sys
 import urllib.parse
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dawnchorus.functions.paths import clip_path
+from dawnchorus.storage import Store, draft, open_store, publish
 
 # Helpers of this module travel with the tasks, so workers need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -269,9 +267,9 @@ def _block_rows(held: list[tuple]) -> pd.DataFrame:
     )
 
 
-def _spread(clips: DataFrame) -> DataFrame:
+def _spread(clips: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """One task handles neighbouring clips of a file; a file with many clips is split."""
-    columns = ["audio_path", "clip_path", "start", "end"]
+    columns = ["audio_path", "clip_path", "start", "end", *carry]
     return (
         clips.select(*columns)
         .repartitionByRange("audio_path", "start", "clip_path")
@@ -312,7 +310,7 @@ def wav_header(rate: int, frames: int) -> bytes:
     return b"RIFF" + size + b"WAVEfmt " + layout + b"data" + struct.pack("<I", data)
 
 
-def _write_one(current: _OpenFile, row, target: str) -> int:
+def _write_one(current: _OpenFile, row, folder: str, drafts: str, store: Store) -> int:
     if not (0 <= row.start < row.end < float("inf")):
         raise ValueError("invalid time range")
     if row.audio_path is None:
@@ -322,20 +320,12 @@ def _write_one(current: _OpenFile, row, target: str) -> int:
     last = min(last, wav.frames)
     if last <= first:
         raise ValueError("no audio in the range")
-    os.makedirs(os.path.dirname(target), exist_ok=True)
-    draft = f"{target}.{uuid.uuid4().hex}.tmp"
-    try:
-        with open(draft, "wb") as out:
-            out.write(wav_header(wav.sample_rate, last - first))
-            for at in range(first, last, _CHUNK_FRAMES):
-                out.write(to_pcm16(read_mono(handle, wav, at, min(_CHUNK_FRAMES, last - at))))
-            out.flush()
-            os.fsync(out.fileno())
-        os.replace(draft, target)
-    except BaseException:
-        with contextlib.suppress(FileNotFoundError):
-            os.remove(draft)
-        raise
+    system, top = store(folder)
+    with draft(system, f"{top}/{drafts}") as (out, name):
+        out.write(wav_header(wav.sample_rate, last - first))
+        for at in range(first, last, _CHUNK_FRAMES):
+            out.write(to_pcm16(read_mono(handle, wav, at, min(_CHUNK_FRAMES, last - at))))
+    publish(system, name, f"{top}/{row.clip_path}")
     return last - first
 
 
@@ -349,16 +339,22 @@ def mounted_folder(folder: str) -> str:
     return folder
 
 
-def write_clips(clips: DataFrame, folder: str) -> DataFrame:
+def write_clips(clips: DataFrame, folder: str, store: Store = open_store) -> DataFrame:
     """Write planned clips as mono 16-bit WAV below a shared folder; returns a manifest.
 
-    ``folder`` is a mounted path or a ``file:`` address; other schemes raise.
+    ``folder`` is a mounted path or an address that ``store`` opens (pyarrow file systems by default).
+
+    Each clip is streamed from its byte range into a draft that takes its name when complete, so a
+    repeated task leaves the same file and a lost one leaves no partial clip; on object stores, which show a file when its
+    upload ends, that is a copy within the store. Drafts lie in the hidden folder ``_drafts``.
 
-    Each clip is streamed from its byte range into a draft that is renamed when complete, so a
-    repeated task leaves the same file and a lost one leaves no partial clip.
+    The manifest has clip_path, frames, ``outcome`` (written or clip_failed, as ``clip_batch_summary`` takes it) and error, behind those of
+    file, scientific_name, common_name and batch that the clips have.
     """
-    schema = "clip_path string, frames bigint, error string"
-    folder = mounted_folder(folder)
+    store(folder)
+    carry = [c for c in ("batch", "file", "scientific_name", "common_name") if c in clips.columns]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in clips.select(*carry).schema.fields]
+    schema = ", ".join([*kept, "clip_path string, frames bigint, outcome string, error string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = _OpenFile()
@@ -366,14 +362,15 @@ def write_clips(clips: DataFrame, folder: str) -> DataFrame:
             done = []
             for row in rows.itertuples(index=False):
                 try:
-                    frames = _write_one(current, row, os.path.join(folder, row.clip_path))
-                    done.append((row.clip_path, frames, None))
+                    frames = _write_one(current, row, folder, "_drafts", store)
+                    done.append((row.clip_path, frames, "written", None))
                 except (OSError, ValueError, struct.error) as error:
-                    done.append((row.clip_path, 0, str(error)))
-            yield pd.DataFrame(done, columns=["clip_path", "frames", "error"])
+                    done.append((row.clip_path, 0, "clip_failed", str(error)))
+            made = pd.DataFrame(done, columns=["clip_path", "frames", "outcome", "error"])
+            yield pd.concat([rows[carry].reset_index(drop=True), made], axis=1)
         current.close()
 
-    return _spread(clips).mapInPandas(run, schema)
+    return _spread(clips, carry).mapInPandas(run, schema)
 
 
 def planned(clips: DataFrame, audio: str = "file") -> DataFrame:

@@ -32,7 +32,9 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_species_list(spark: SparkSession, path: str) -> DataFrame:
-    return _lines(spark, path).select("label")
+    """The non-blank lines of a species list, trimmed; their order means nothing, so any number of tasks reads them."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("label"))
+    return lines.where("label <> ''")
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:

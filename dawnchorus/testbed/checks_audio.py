@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dawnchorus.functions.paths import base_name, output_suffix
-from dawnchorus.operators import work
+from dawnchorus.operators import summaries, work
 from dawnchorus.sources import audio
 from dawnchorus.sources.inventory import recording_inventory
 from dawnchorus.streaming import detections as live
@@ -133,6 +133,24 @@ def write_clips(t: Tables) -> DataFrame:
     return audio.write_clips(_clips(t), t.scratch()).select("clip_path", "frames")
 
 
+@check(
+    "clip_manifest_summary",
+    f"""WITH cut AS (
+          SELECT vec_id % 7 AS batch, vec_id % 5 = 0 OR {_CLIP_FRAMES} = 0 AS failed FROM embeddings)
+        SELECT batch, CAST(count(*) FILTER (WHERE NOT failed) AS BIGINT) AS total_clips, count(*) FILTER (WHERE NOT failed) AS total_files,
+               count(*) FILTER (WHERE failed) AS failed_files, bool_and(failed) AS batch_failed
+        FROM cut GROUP BY batch""",
+)
+def clip_manifest_summary(t: Tables) -> DataFrame:
+    """Clips written, one per recording, every fifth of them beyond its recording's end, and their batches summed up."""
+    number = F.regexp_extract("clip_path", r"(\d+)", 1).cast("bigint")
+    clips = _clips(t).withColumns({"batch": number % 7, "file": F.col("clip_path")})
+    clips = clips.withColumns(
+        {"start": F.when(number % 5 == 0, 1e6).otherwise(F.col("start")), "end": F.when(number % 5 == 0, 2e6).otherwise(F.col("end"))}
+    )
+    return summaries.clip_batch_summary(audio.write_clips(clips, t.scratch()))
+
+
 @check("stream_pending", f"SELECT {_NAME} AS name FROM embeddings WHERE label IS NULL OR label % 2 = 0")
 def stream_pending(t: Tables) -> DataFrame:
     """Recordings that arrive as files, less those of odd labels, whose outputs exist."""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows_of
+from dawnchorus.operators import summaries
 from dawnchorus.operators.scoring import score_segments
 from dawnchorus.operators.segments import segment_grid
 from dawnchorus.plans.analysis import AnalysisSettings, analyze
@@ -141,7 +142,11 @@ def test_clips_from_results_to_files(spark, tmp_path):
         assert (clip.getframerate(), clip.getnchannels(), clip.getsampwidth(), clip.getnframes()) == (8000, 1, 2, 56000)
         cut = np.frombuffer(clip.readframes(56000), "<i2") / 32767
     assert np.allclose(cut, tone(8000, 20, 440)[8000:64000], atol=1e-3)
-    assert not list(out.rglob("*.tmp"))
+    assert not [f for f in (out / "_drafts").iterdir()]
+    summary = summaries.clip_batch_summary(audio.write_clips(planned.withColumn("batch", F.lit("b")), f"file://{tmp_path}/again"))
+    assert tuple(summary.first()) == ("b", 2, 1, 1, False)
+    tree = [sorted(str(f.relative_to(top)) for f in top.rglob("*.wav")) for top in (out, tmp_path / "again")]
+    assert tree[0] == tree[1]
     again = audio.write_clips(planned, str(out)).filter("error is null").count()
     assert again == 2 and len(list(out.rglob("*.wav"))) == 2
 
@@ -159,8 +164,48 @@ def test_extracted_blocks_join_up(spark, tmp_path):
 
 def test_clip_folders(spark):
     assert audio.mounted_folder("file:///a%20b/c") == "/a b/c" and audio.mounted_folder("/a/b") == "/a/b"
-    with pytest.raises(ValueError, match="mounted"):
-        audio.write_clips(spark.range(0), "s3://bucket/out")
+    with pytest.raises(ValueError, match="nosuch"):
+        audio.write_clips(spark.range(0), "nosuch://bucket/out")
+
+
+def test_a_store_that_breaks_off_leaves_nothing(spark, tmp_path):
+    pcm16(tmp_path / "r.wav", tone(8000, 20, 440), 8000)
+    rows = [(f"{tmp_path}/r.wav", f"{n}.wav", 0.0, float(n)) for n in (1, 2, 19)]
+    clips = spark.createDataFrame(rows, "audio_path string, clip_path string, start double, end double")
+
+    def breaking(address):
+        from pyarrow import fs
+
+        class Stream:
+            def __init__(self, out):
+                self.out, self.left = out, 50_000
+
+            def write(self, data):
+                self.left -= len(data)
+                if self.left < 0:
+                    raise OSError("no space left")
+                return self.out.write(data)
+
+            def close(self):
+                self.out.close()
+
+        class Full:
+            """A file system that has no room for long files."""
+
+            def __init__(self):
+                self.inner = fs.LocalFileSystem()
+
+            def __getattr__(self, name):
+                return getattr(self.inner, name)
+
+            def open_output_stream(self, path):
+                return Stream(self.inner.open_output_stream(path))
+
+        return Full(), address
+
+    done = {r["clip_path"]: (r["outcome"], r["error"]) for r in audio.write_clips(clips, str(tmp_path / "out"), breaking).collect()}
+    assert done == {"1.wav": ("written", None), "2.wav": ("written", None), "19.wav": ("clip_failed", "no space left")}
+    assert sorted(f.name for f in (tmp_path / "out").rglob("*") if f.is_file()) == ["1.wav", "2.wav"]
 
 
 def test_recordings_never_share_clip_paths(spark):
