@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,10 +73,15 @@ def score_segments(
 
 
 def classify_embeddings(
-    embeddings: DataFrame, head: DataFrame, k: int | None = 1, carry: Sequence[str] = ("file", "seg_idx")
+    embeddings: DataFrame,
+    head: DataFrame,
+    k: int | None = 1,
+    carry: Sequence[str] = ("file", "seg_idx"),
+    min_score: float | None = None,
 ) -> DataFrame:
-    """Second-stage scores ``w . embedding + b`` of every head label, best ``k`` kept (ties by class).
+    """Second-stage scores ``w . embedding + b`` of every head label, best ``k`` kept (ties by class; None: all).
 
+    With ``min_score`` only scores that reach it in single precision are kept, before anything leaves the task.
     ``head`` has (class_index, label, weights, bias). Its parts go to the tasks as matrices, one product
     per Arrow batch and part, and the best so far travel along, so there is no join and no shuffle; a head
     beyond the broadcast bound makes more parts. A segment without an embedding, or with one of another
@@ -88,36 +95,53 @@ def classify_embeddings(
         if rows:
             matrix = np.array([r["weights"] for r in rows], dtype=np.float64)
             bias = np.array([r["bias"] for r in rows], dtype=np.float64)
-            classes = [r["class_index"] for r in rows]
+            classes = np.array([r["class_index"] for r in rows], dtype=np.int32)
             shared = spark.sparkContext.broadcast((matrix, bias, classes, [r["label"] for r in rows]))
-            scored = scored.mapInPandas(_scorer(shared, k), scored.schema)
+            scored = scored.mapInArrow(_scorer(shared, k, min_score), scored.schema)
     return scored.select(*carry, F.inline("_best")).select(*carry, "label", "score", "class_index")
 
 
-def _scorer(shared, k: int | None):
+def _scorer(shared, k: int | None, min_score: float | None):
     """Adds the scores of one part of a head to the best so far of each row."""
 
-    def best(before, scores: np.ndarray, classes: list, names: list) -> list[dict]:
-        # Classes are in order, so a stable sort leaves ties by class.
-        first = np.argsort(-scores, kind="stable")[:k].tolist()
-        found = [{"score": float(scores[i]), "class_index": classes[i], "label": names[i]} for i in first]
-        ranked = sorted([*before, *found], key=lambda r: (-r["score"], r["class_index"]))
-        return ranked if k is None else ranked[:k]
+    def vectors(column: pa.Array, width: int) -> np.ndarray:
+        if column.null_count:
+            raise ValueError("segment without an embedding")
+        if (pc.list_value_length(column).to_numpy(zero_copy_only=False) != width).any():
+            raise ValueError("embedding of another length than the head's weights")
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, bias, classes, names = shared.value
+        labels = pa.array(names, pa.string())
         for batch in batches:
-            if batch["embedding"].isna().any():
-                raise ValueError("segment without an embedding")
-            if (batch["embedding"].map(len) != matrix.shape[1]).any():
-                raise ValueError("embedding of another length than the head's weights")
-            out = batch.copy()
-            if len(batch):
-                scores = np.stack(batch["embedding"].to_numpy()).astype(np.float64) @ matrix.T + bias
-                out["_best"] = [
-                    best(before, row, classes, names) for before, row in zip(batch["_best"], scores)
-                ]
-            yield out
+            n = batch.num_rows
+            scores = vectors(batch.column("embedding"), matrix.shape[1]) @ matrix.T + bias
+            wanted = np.ones(scores.shape, bool)
+            if min_score is not None:
+                wanted &= scores.astype(np.float32) >= np.float32(min_score)
+            if k is not None and k < scores.shape[1]:
+                # Nothing below a row's k-th score is among its best; ties at it are told apart below.
+                wanted &= scores >= np.partition(scores, scores.shape[1] - k, axis=1)[:, [scores.shape[1] - k]]
+            row, which = np.nonzero(wanted)
+            best = batch.column("_best")
+            before = best.flatten()
+            held = np.repeat(np.arange(n), pc.list_value_length(best).to_numpy(zero_copy_only=False))
+            row = np.concatenate([held, row])
+            score = np.concatenate([before.field("score").to_numpy(zero_copy_only=False), scores[wanted]])
+            kind = np.concatenate([before.field("class_index").to_numpy(zero_copy_only=False), classes[which]])
+            label = pa.concat_arrays([before.field("label"), labels.take(pa.array(which))])
+            order = np.lexsort((kind, -score, row))
+            if k is not None:
+                sizes = np.bincount(row, minlength=n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                order = order[place < k]
+            ends = np.append(0, np.cumsum(np.bincount(row[order], minlength=n)))
+            fields = [pa.array(score[order]), pa.array(kind[order], pa.int32()), label.take(pa.array(order))]
+            kept = pa.StructArray.from_arrays(fields, ["score", "class_index", "label"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), kept)
+            at = batch.schema.get_field_index("_best")
+            yield batch.set_column(at, "_best", lists)
 
     return run
 

@@ -91,6 +91,7 @@ def analyze(
             second_stage.head,
             k=None,
             carry=["file", "seg_idx", "start_s", "end_s"],
+            min_score=settings.min_confidence,
         )
         kept = scored.withColumn("confidence", F.col("score").cast("float"))
     else:

@@ -225,6 +225,69 @@ def csv_round_trip(t: Tables) -> DataFrame:
     return results.read_detections_csv(t.spark, folder).drop("file")
 
 
+@check(
+    "csv_mixed_headers",
+    with_views(
+        """WITH r AS (SELECT start_s::DOUBLE AS "start", end_s::DOUBLE AS "end", scientific_name, common_name,
+                             CAST(round(confidence::DOUBLE, 4) AS FLOAT) AS confidence, false AS malformed FROM detections)
+           SELECT * FROM r UNION ALL SELECT * FROM r
+           UNION ALL SELECT NULL, NULL, '', '', NULL, true""",
+        "detections",
+    ),
+)
+def csv_mixed_headers(t: Tables) -> DataFrame:
+    """Result CSVs with and without metadata columns, and one that lacks columns, read together."""
+    folder = t.scratch()
+    det = t.detections()
+    tables.write_results(det, "csv", f"{folder}/plain")
+    tables.write_results(det.withColumn("week", F.lit(7)), "csv", f"{folder}/weeks", include=["week", "model"])
+    t.spark.range(1).select(F.lit("Start (s),x").alias("value")).write.text(f"{folder}/lacking")
+    found = results.read_detections_csv(t.spark, [f"{folder}/plain", f"{folder}/weeks", f"{folder}/lacking"], on_bad="flag", headers="mixed")
+    return found.select("start", "end", "scientific_name", "common_name", "confidence", "malformed")
+
+
+@check(
+    "read_labels",
+    with_views(
+        """SELECT CAST(row_number() OVER (ORDER BY class_index) - 1 AS INTEGER) AS class_index, label FROM clf_labels""",
+        "clf_labels",
+    ),
+)
+def read_labels(t: Tables) -> DataFrame:
+    """The classifier's labels written as one file, whose line order is the class index, and read back."""
+    folder = t.scratch()
+    t.clf_labels().coalesce(1).sortWithinPartitions("class_index").select("label").write.text(folder)
+    return lists.read_labels(t.spark, folder)
+
+
+@check(
+    "read_regions",
+    """SELECT lower(r_name) AS region, r_name AS name, CAST(r_regionkey AS INTEGER) AS group_order,
+              CAST(count(n_nationkey) AS INTEGER) AS classes,
+              string_agg(n_name, ',' ORDER BY n_name) FILTER (WHERE n_nationkey % 2 = 0) AS core,
+              string_agg(n_name, ',' ORDER BY n_name) FILTER (WHERE n_nationkey % 2 = 1) AS partial
+       FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL""",
+)
+def read_regions(t: Tables) -> DataFrame:
+    """A manifest of the regions and their nations, written as one JSON object and read back."""
+    folder = t.scratch()
+    even = F.col("n_nationkey") % 2 == 0
+    countries = [F.array_sort(F.collect_list(F.when(c, F.col("n_name")))).alias(n) for c, n in ((even, "core"), (~even, "partial"))]
+    nations = t.raw("nation").groupBy("n_regionkey").agg(*countries, F.count(F.lit(1)).cast("int").alias("classes"))
+    regions = t.raw("region").join(nations, F.col("r_regionkey") == F.col("n_regionkey"))
+    entry = F.struct(
+        F.col("r_name").alias("name"),
+        F.col("r_regionkey").cast("int").alias("group_order"),
+        "classes",
+        F.struct("core", "partial").alias("countries"),
+    )
+    manifest = F.map_from_entries(F.collect_list(F.struct(F.lower("r_name"), entry)))
+    regions.agg(F.to_json(manifest).alias("value")).write.text(folder)
+    found = lists.read_regions(t.spark, folder)
+    joined = [F.array_join(F.col(f"countries.{n}"), ",").alias(n) for n in ("core", "partial")]
+    return found.select("region", "name", "group_order", "classes", *[F.nullif(c, F.lit("")).alias(n) for c, n in zip(joined, ("core", "partial"))])
+
+
 @check("parquet_round_trip", with_views(f"SELECT {_FLAT} FROM detections", "detections"))
 def parquet_round_trip(t: Tables) -> DataFrame:
     folder = t.scratch()
