@@ -13,6 +13,8 @@ from dawnchorus.functions.numbers import at_least
 from dawnchorus.scale import broadcast_if_bounded, unfolded
 
 _SEGMENT = ["file", "seg_idx"]
+# Keys among which rows without a species are dealt out.
+SPREAD = 4096
 
 
 def top_k(pred: DataFrame, k: int = K.DEFAULT_TOP_K) -> DataFrame:
@@ -157,12 +159,16 @@ def range_filter_by_site(
     _check_policy(policy)
     where = recordings.select("file", "site", "week", "active")
     mapped = mapping.select(F.col("classifier_label").alias("label"), "species_key")
-    latest = _latest_scores(scores, ["site", "week"])
-    joined = (
+    latest = _latest_scores(scores, ["site", "week"]).withColumnRenamed("species_key", "_scored")
+    # Rows that need no score get keys that no species has, many different ones, so that they make no hot key.
+    needs = F.coalesce(F.col("active"), F.lit(False)) & F.col("species_key").isNotNull()
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("file", "seg_idx"), F.lit(SPREAD)).cast("string"))
+    located = (
         pred.join(broadcast_if_bounded(where), "file", "left")
         .join(broadcast_if_bounded(mapped), "label", "left")
-        .join(broadcast_if_bounded(latest), ["site", "week", "species_key"], "left")
+        .withColumn("_scored", F.when(needs, F.col("species_key")).otherwise(spread))
     )
+    joined = located.join(broadcast_if_bounded(latest), ["site", "week", "_scored"], "left")
     active = F.coalesce(F.col("active"), F.lit(False))
     score = F.coalesce(F.col("score"), F.lit(0.0).cast("float"))
     unmapped = F.lit(policy == "keep" and not rerank)

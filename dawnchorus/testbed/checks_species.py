@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dawnchorus.operators import sites as operator_sites
 from dawnchorus.operators import scoring, species
 from dawnchorus.plans import analysis, species_lists
 from dawnchorus.testbed.registry import check
@@ -321,6 +322,37 @@ def analyze_by_site(t: Tables) -> DataFrame:
     return _detections(analysis.analyze(t.pred(), settings, sites=sites))
 
 
+_PLACES = """r AS (SELECT o_orderkey, (o_orderkey * 7919 % 18001) / 100.0 - 90.0 AS lat, (o_orderkey * 104729 % 36001) / 100.0 - 180.0 AS lon
+                   FROM orders),
+             s AS (SELECT s_suppkey AS site, (s_suppkey * 6151 % 17989) / 100.0 - 89.9 AS lat, (s_suppkey * 3079 % 35981) / 100.0 - 179.9 AS lon
+                   FROM supplier)"""
+
+
+def _places(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders as recordings and suppliers as sites, all over the globe."""
+
+    def place(key: str, a: tuple, b: tuple):
+        return [(F.col(key) * m % n / 100.0 - shift).alias(c) for c, (m, n, shift) in (("lat", a), ("lon", b))]
+
+    recordings = t.raw("orders").select("o_orderkey", *place("o_orderkey", (7919, 18001, 90.0), (104729, 36001, 180.0)))
+    sites = t.raw("supplier").select(F.col("s_suppkey").alias("site"), *place("s_suppkey", (6151, 17989, 89.9), (3079, 35981, 179.9)))
+    return recordings, sites
+
+
+@check(
+    "nearest_sites",
+    f"""WITH {_PLACES},
+         xyz AS (SELECT o_orderkey, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM r),
+         pts AS (SELECT site, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM s)
+        SELECT o_orderkey, arg_min(site, d) AS site, round(2 * 6371.0088 * asin(min(d) / 2), 3) AS distance_km
+        FROM (SELECT o_orderkey, site, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d
+              FROM xyz a, pts b) GROUP BY o_orderkey""",
+)
+def nearest_sites(t: Tables) -> DataFrame:
+    recordings, found = _places(t)
+    return operator_sites.nearest_sites(recordings, found).select("o_orderkey", "site", F.round("distance_km", 3).alias("distance_km"))
+
+
 @check(
     "analyze_with_list",
     with_views(
