@@ -103,10 +103,12 @@ class _OrderedThrottle(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "percent int, shown_ms bigint, seen_ms bigint")
         self.held = handle.getMapState("held", "slice bigint, part bigint", "micros binary, percents binary")
-        self.parts = handle.getValueState("parts", "next bigint")
+        # The number of the next part, and the time of the only timer.
+        self.turn = handle.getValueState("turn", "next bigint, timer bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        due = set()
+        part, timer = self.turn.get() if self.turn.exists() else (0, None)
+        due = timer
         for batch in rows:
             # Microseconds from the timestamp, whatever unit pandas holds it in.
             micros = batch["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
@@ -116,26 +118,27 @@ class _OrderedThrottle(StatefulProcessor):
             slices = micros // (SLICE_MS * 1000)
             for one in np.unique(slices).tolist():
                 mine = slices == one
-                self._hold(one, micros[mine], percents[mine])
-                due.add((one + 1) * SLICE_MS)
-        for at in due:
-            self.handle.registerTimer(at)
+                self.held.updateValue((one, part), (micros[mine].tobytes(), percents[mine].tobytes()))
+                part += 1
+                at = (one + 1) * SLICE_MS
+                due = at if due is None else min(due, at)
+        if due is not None and due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.turn.update((part, due))
         yield from ()
 
-    def _hold(self, piece: int, micros: np.ndarray, percents: np.ndarray) -> None:
-        at = self.parts.get()[0] if self.parts.exists() else 0
-        self.parts.update((at + 1,))
-        self.held.updateValue((piece, at), (micros.tobytes(), percents.tobytes()))
-
     def handleExpiredTimer(
         self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
     ) -> Iterator[pd.DataFrame]:
-        upto = expiredTimerInfo.getExpiryTimeInMs()
+        # All that the watermark has passed is due, so a file has one timer and not one for each slice.
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         parts = sorted(tuple(k) for k in self.held.keys())
         ready = [k for k in parts if (k[0] + 1) * SLICE_MS <= upto]
         last = tuple(self.last.get()) if self.last.exists() else None
         # Slice by slice, so that what is read at once is bounded by a slice.
-        for piece, group in itertools.groupby(ready, key=lambda k: k[0]):
+        for _, group in itertools.groupby(ready, key=lambda k: k[0]):
             names = list(group)
             values = [self.held.getValue(k) for k in names]
             micros = np.concatenate([np.frombuffer(v[0], np.int64) for v in values])
@@ -149,14 +152,23 @@ class _OrderedThrottle(StatefulProcessor):
                 some = shown[low : low + ROWS_AT_ONCE]
                 at = pd.to_datetime(micros[some], unit="us", utc=True)
                 yield pd.DataFrame({"file": key[0], "percent": percents[some], "timestamp": at})
+        waiting = parts[len(ready) :]
+        if waiting:
+            timer = (waiting[0][0] + 1) * SLICE_MS
+        elif last is not None and upto < last[2] + self.silence_ms:
+            timer = last[2] + self.silence_ms
+        else:
+            # Nothing for so long: what comes next starts anew, as it would with the state kept.
+            timer = last = None
         if last is None:
             self.last.clear()
-        elif ready:
+        else:
             self.last.update(last)
-            self.handle.registerTimer(last[2] + self.silence_ms)
-        elif upto >= last[2] + self.silence_ms and not parts:
-            # Nothing for so long: what comes next starts anew, as it would with the state kept.
-            self.last.clear()
+        if timer is None:
+            self.turn.clear()
+        else:
+            self.handle.registerTimer(timer)
+            self.turn.update((self.turn.get()[0], timer))
 
     def close(self) -> None:
         pass
