@@ -87,7 +87,7 @@ def shuffled(spark, monkeypatch):
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-@pytest.mark.parametrize("name", ["range_filter_keep", "range_filter_by_site", "filter_species_list", "resolve_audio", "valid_ranges", "merge_detections_touching", "label_collisions", "assign_region"])
+@pytest.mark.parametrize("name", ["range_filter_keep", "range_filter_by_site", "filter_species_list", "resolve_audio", "valid_ranges", "label_collisions", "assign_region"])
 def test_shuffled_joins_give_the_same(spark, shuffled, name):
     """Beyond the broadcast bound the same rows come out of shuffled joins."""
     df = QUERIES[name](spark, FOLDER)
