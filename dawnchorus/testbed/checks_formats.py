@@ -180,3 +180,21 @@ def detection_events(t: Tables) -> DataFrame:
     sent = documents.to_detection_events(t.detections())
     envelopes = sent.select(F.from_json("value", "spec_version string, timestamp timestamp, event string, payload string").alias("e")).select("e.*")
     return events.event_detections(envelopes).drop("timestamp")
+
+
+@check(
+    "detection_events_of_all",
+    with_views(
+        """SELECT r.file, 1 AS events, count(d.file) AS detections
+           FROM (SELECT DISTINCT file FROM recordings) r LEFT JOIN detections d ON r.file = d.file GROUP BY r.file""",
+        "recordings",
+        "detections",
+    ),
+)
+def detection_events_of_all(t: Tables) -> DataFrame:
+    """Events of every recording, also of those without detections, counted from their JSON text."""
+    sent = documents.to_detection_events(t.detections(), recordings=t.recordings())
+    listed = F.from_json(F.get_json_object("value", "$.payload.detections"), "array<struct<species: string>>")
+    return sent.groupBy("file").agg(
+        F.count(F.lit(1)).cast("int").alias("events"), F.sum(F.size(listed)).alias("detections")
+    )
